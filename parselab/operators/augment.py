@@ -29,7 +29,8 @@ def assign_strategy(seeds: DataFrame, key: str = "seed_id", seed: int = fixed.SE
 def line_candidates(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per line that may be a log."""
     found = replies.line_candidates(strip(F.col(text)), F.lit(None).cast("string"))
-    return df.select(*keep, F.posexplode(found).alias("pos", "line")).select(
+    exploded = df.select(*keep, F.posexplode_outer(found).alias("pos", "line"))
+    return exploded.filter(F.col("pos").isNotNull()).select(
         *keep, "pos", F.col("line.input").alias("candidate")
     )
 
@@ -62,9 +63,11 @@ def parse_variants(
         .when(F.size(loose) > 0, loose)
         .otherwise(by_line)
     )
-    out = read.withColumn("_found", found).select(
-        "seed_id", F.posexplode("_found").alias("pos", "variant")
-    ).select("seed_id", "pos", "variant.*")
+    # The outer form: an inner explode adds a filter on its array, which would parse every reply again.
+    exploded = read.withColumn("_found", found).select(
+        "seed_id", F.posexplode_outer("_found").alias("pos", "variant")
+    )
+    out = exploded.filter(F.col("pos").isNotNull()).select("seed_id", "pos", "variant.*")
     return out if keep_error_type else out.drop("error_type")
 
 

@@ -42,7 +42,7 @@ def ranked(
 ) -> DataFrame:
     """Add ``rank`` (1..) in seeded order, per stratum when given.
 
-    With ``upto`` only the rows of rank <= upto come back, and buckets beyond it are dropped before
+    Rows without a stratum have no rank and drop out. With ``upto`` only the rows of rank <= upto come back, and buckets beyond it are dropped before
     any row is shuffled.
     """
     keyed = df.withColumn("hash", order_of(F.col(key), seed))
@@ -53,11 +53,7 @@ def ranked(
     if not strata:
         offsets = F.broadcast(offsets)  # never more than 16**digits rows
     names = [*strata, "bucket"]
-    if strata:
-        same = [keyed[n].eqNullSafe(offsets[n]) for n in names]
-        joined = keyed.join(offsets, same).select(*[keyed[c] for c in keyed.columns], "offset")
-    else:
-        joined = keyed.join(offsets, "bucket")
+    joined = keyed.join(offsets, names)
     inside = W.partitionBy(*names).orderBy("hash", key)
     out = joined.withColumn("rank", F.col("offset") + F.row_number().over(inside))
     if upto is not None:

@@ -19,7 +19,7 @@ from parselab.functions.text import lines, strip
 
 def read_taxonomy(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """``number, title, pos`` from the heading lines; the last title of a number wins, its first place stays."""
-    line = docs.select(*by, F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    line = docs.select(*by, F.posexplode_outer(lines(F.col(text))).alias("pos", "line"))
     heads = line.withColumn("line", strip(F.col("line"))).filter(
         F.col("line").startswith(fixed.HEADING) & F.col("line").contains(". ")
     )
@@ -64,9 +64,9 @@ def read_taxonomy_blocks(
     keeps both.
     """
     pattern = fixed.TAXONOMY_BLOCK if mode == "observed" else fixed.TAXONOMY_BLOCK_LOOSE
-    found = docs.select(
-        *by, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", "block")
-    )
+    # The outer form: an inner explode adds a filter on its array, which would search every text again.
+    matched = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    found = docs.select(*by, F.posexplode_outer(matched).alias("pos", "block")).filter("pos IS NOT NULL")
     parts = found.select(
         *by,
         "pos",

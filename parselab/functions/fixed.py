@@ -63,8 +63,6 @@ LOG_MIN = 5
 
 # Taxonomy document.
 HEADING = "####"
-TAXONOMY_BLOCK = r"(?sd)#### ([A-Z])\. ([^\n]+)\n- ([^#]+?)(?=####|$)"
-TAXONOMY_BLOCK_LOOSE = r"(?sd)#### ([A-Z])\. ([^\n]+)\n- (.+?)(?=####|$)"
 EXAMPLE_HEADS = ["- Example errors:", "- Examples:"]
 MERGED_HEADER = """# Log Parsing Error Type Analysis (Merged)
 

@@ -111,7 +111,8 @@ def generate_variants(
     """
 
     def ask(prompts: DataFrame, round_no: int) -> DataFrame:
-        keyed = asking.with_request_id(prompts)
+        # The request table is written out: the responder reads it, and the replies join it.
+        keyed = cut_lineage(asking.with_request_id(prompts))
         replied = asking.attach_responses(keyed, responder(keyed, round_no))
         return cut_lineage(parse_variants(replied))
 
@@ -202,6 +203,7 @@ def substitute_variables(
     """
     by = list(by)
     slot_key = [*by, "template", "slot"]
+    values = cut_lineage(values)  # read three times below
     pool = ranked(values.select(*slot_key, "value"), "value", slot_key, seed)
     pool = pool.withColumn("pick", F.col("rank")).drop("rank")
     sizes = values.groupBy(*slot_key).agg(F.count(F.lit(1)).alias("size"))

@@ -9,11 +9,12 @@ from parselab.functions import fixed, replies
 from parselab.functions.text import strip
 from parselab.operators.prompts import attach_responses, classify_prompts
 from parselab.operators.summaries import drop_empty_rows, drop_null_rows
+from parselab.session import broadcast_if_small
 
 
 def label_lookup(df: DataFrame, taxonomy: DataFrame, number: str = "number") -> DataFrame:
     """Title of a label number, NULL when the taxonomy has no such number."""
-    titles = taxonomy.select(F.col("number").alias("known"), "title")
+    titles = broadcast_if_small(taxonomy.select(F.col("number").alias("known"), "title"))
     return df.join(titles, F.col(number) == F.col("known"), "left").drop("known")
 
 

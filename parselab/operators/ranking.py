@@ -115,4 +115,4 @@ def frequent_types(df: DataFrame, type_col: str, k: int) -> DataFrame:
         .limit(k)
         .select(type_col)
     )
-    return df.join(top, type_col, "left_semi")
+    return df.join(F.broadcast(top), type_col, "left_semi")  # ``k`` rows

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import text
+from parselab.session import broadcast_if_small
 
 
 def outcome(prediction: Column, gold: Column) -> Column:
@@ -161,7 +162,7 @@ def normalised_log(log: Column) -> Column:
 
 def decontaminate(evaluation: DataFrame, tuning: DataFrame, log: str = "Content") -> DataFrame:
     """Evaluation rows whose normalised log is not in the tuning table."""
-    seen = tuning.select(normalised_log(F.col(log)).alias("seen")).distinct()
+    seen = broadcast_if_small(tuning.select(normalised_log(F.col(log)).alias("seen")).distinct())
     return evaluation.join(seen, normalised_log(F.col(log)) == F.col("seen"), "left_anti")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parselab.functions import fixed
 from parselab.functions.text import strip
 from parselab.operators.ranking import order_of, ranked
+from parselab.session import broadcast_if_small
 
 
 def strata(df: DataFrame, column: str = "Error_Number") -> DataFrame:
@@ -85,7 +86,7 @@ def attach_summaries(
         _text(F.col("error_summary"), mode).alias("error_summary"),
         F.col(order).alias("_order"),
     )
-    wanted = found.join(keyed.select(*keys).distinct(), keys, "left_semi")
+    wanted = found.join(broadcast_if_small(keyed.select(*keys).distinct()), keys, "left_semi")
     last = dedup_keep_last(wanted, keys, "_order").drop("_order")
     return keyed.join(last, keys, "left").drop(*keys).withColumn(
         "error_summary", F.coalesce("error_summary", F.lit(""))

@@ -29,16 +29,21 @@ def clean_summaries(df: DataFrame, column: str = "error_summary") -> DataFrame:
     return df.withColumn(column, strip(F.col(column))).filter(F.length(column) > fixed.SUMMARY_MIN)
 
 
-def summarise_errors(diff: DataFrame, responses: DataFrame, mode: str = "observed") -> DataFrame:
-    """Error summary per wrong row; a failed call gives an empty summary."""
+def error_replies(diff: DataFrame, responses: DataFrame) -> DataFrame:
+    """Wrong rows that have all fields, with their reply; a failed call gives an empty text."""
     complete = drop_null_rows(diff, fixed.DIFF_COLUMNS)
     replied = attach_responses(error_prompts(complete), responses)
+    return replied.withColumn("response", F.coalesce("response", F.lit("")))
+
+
+def summarise_errors(diff: DataFrame, responses: DataFrame, mode: str = "observed") -> DataFrame:
+    """Error summary per wrong row."""
     kept = [c for c in diff.columns if c not in fixed.PREDICTION_COLUMNS]
-    return replied.select(
+    return error_replies(diff, responses).select(
         *kept,
         F.col("Content").alias("original_log"),
         F.col("EventTemplate").alias("correct_template"),
-        summary(F.coalesce("response", F.lit("")), mode).alias("error_summary"),
+        summary(F.col("response"), mode).alias("error_summary"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parselab.functions import fixed
 from parselab.operators import augment, merge, prompts, ranking, scoring, seeds, taxonomy
+from parselab.session import cut_lineage
 from parselab.sources import files
 
 
@@ -44,9 +45,9 @@ def merge_types(
     ``types`` has ``pos, title, description, examples, vector``. Without a similar pair the plan is
     empty and labels and types come back as they are.
     """
-    pairs = merge.similar_pairs(types, threshold, pivots=pivots)
+    pairs = cut_lineage(merge.similar_pairs(types, threshold, pivots=pivots))
     counts = merge.type_counts(labels)
-    plan = merge.merge_plan(merge.pair_counts(pairs, types, counts))
+    plan = cut_lineage(merge.merge_plan(merge.pair_counts(pairs, types, counts)))
     resolved = merge.resolve_plan(plan, mode)
     return {
         "pairs": pairs,

@@ -227,7 +227,7 @@ def not_identical(spark, d):
 
 @query
 def line_candidates(spark, d):
-    return augment.line_candidates(data.table(spark, d, "documents"), "text", ["doc_id"])
+    return augment.line_candidates(data.spread_table(spark, d, "documents"), "text", ["doc_id"])
 
 
 # Text extraction.
@@ -277,20 +277,17 @@ def summary_by_marker(spark, d):
 @query
 def summary_fallback(spark, d):
     """Last paragraph of every document."""
-    return data.table(spark, d, "documents").select(
+    return data.spread_table(spark, d, "documents").select(
         "doc_id", text.last_paragraph(F.col("text")).alias("paragraph")
     )
 
 
 @query
 def summary_final(spark, d):
-    rows = data.diff(spark, d)
-    stored = data.summary_responses(spark, d)
-    both = [
-        summaries.summarise_errors(rows, stored, mode).select("row_id", F.col("error_summary").alias(mode))
-        for mode in ("observed", "intended")
-    ]
-    return both[0].join(both[1], "row_id")
+    rows = data.written_diff(spark, d)
+    replied = summaries.error_replies(rows, data.summary_responses(rows))
+    modes = [text.summary(F.col("response"), mode).alias(mode) for mode in ("observed", "intended")]
+    return replied.select("row_id", *modes)
 
 
 @query
@@ -301,7 +298,7 @@ def json_slice(spark, d):
 
 
 def _labelled(spark, d):
-    rows, types = data.diff(spark, d), data.taxonomy(spark, d)
+    rows, types = data.written_diff(spark, d), data.taxonomy(spark, d)
     stored = data.label_responses(prompts.with_request_id(prompts.classify_prompts(rows, types)))
     return labels.label_errors(rows, stored, types)
 
@@ -413,8 +410,8 @@ def surviving_types(spark, d):
 
 @query
 def response_join(spark, d):
-    asked = prompts.error_prompts(data.diff(spark, d))
-    joined = prompts.attach_responses(asked, data.summary_responses(spark, d))
+    rows = data.written_diff(spark, d)
+    joined = prompts.attach_responses(prompts.error_prompts(rows), data.summary_responses(rows))
     return joined.select("row_id", "request_id", "answered", F.coalesce("response", F.lit("")).alias("response"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parselab.functions.templates import number_letter
 from parselab.functions.text import lines
 from parselab.operators import augment, prompts, scoring
+from parselab.session import cut_lineage, spread
 
 TYPES = 26
 
@@ -20,8 +21,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(table(spark, d, name))
+
+
 def logs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr(
+    return spread_table(spark, d, "events").selectExpr(
         "event_id AS row_id",
         "user_id",
         "event_type",
@@ -60,6 +65,11 @@ def diff(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def written_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The wrong rows as the file one stage leaves to the next."""
+    return cut_lineage(diff(spark, d))
+
+
 def kind(text: str = "Content") -> Column:
     """Which of eight replies a log gets."""
     return F.expr(f"cast(conv(substr(md5({text}), 1, 4), 16, 10) AS int) % 8")
@@ -133,7 +143,7 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
             F.lit("\"\n"),
         ),
     )
-    return table(spark, d, "documents").select(
+    return spread_table(spark, d, "documents").select(
         "doc_id", F.concat(F.lit("# Types\n\n"), F.array_join(blocks, "\n")).alias("text")
     )
 
@@ -204,9 +214,9 @@ def label_responses(asked: DataFrame) -> DataFrame:
     )
 
 
-def summary_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Reply table for error prompts; every ninth log text length had a failed call."""
-    asked = prompts.with_request_id(prompts.error_prompts(diff(spark, d))).withColumn("kind", kind())
+def summary_responses(rows: DataFrame) -> DataFrame:
+    """Reply table for the error prompts of wrong rows; every ninth log text length had a failed call."""
+    asked = prompts.with_request_id(prompts.error_prompts(rows)).withColumn("kind", kind())
     return (
         asked.filter("length(Content) % 9 <> 0")
         .select("request_id", F.expr(SUMMARY_REPLY).alias("response"))

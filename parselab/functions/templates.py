@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from parselab.functions import fixed
 
-_SPECIAL = r"([\\^$.|?*+()\[\]{}])"
-
 
 def literal_parts(template: Column) -> Column:
     """The constant texts around the wildcards, in order."""
@@ -16,13 +14,15 @@ def literal_parts(template: Column) -> Column:
 
 
 def slot_count(template: Column) -> Column:
-    return F.size(literal_parts(template)) - 1
+    without = F.replace(template, F.lit(fixed.WILDCARD), F.lit(""))
+    return ((F.length(template) - F.length(without)) / len(fixed.WILDCARD)).cast("int")
 
 
 def template_pattern(template: Column) -> Column:
-    """Regular expression of a template: one capture group per wildcard, all other text literal."""
-    escaped = F.transform(literal_parts(template), lambda part: F.regexp_replace(part, _SPECIAL, r"\\$1"))
-    return F.concat(F.lit("(?s)^"), F.array_join(escaped, "(.+?)"), F.lit(r"\z"))
+    """Regular expression of a template: one capture group per wildcard, all other text quoted."""
+    quoted = F.replace(template, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    grouped = F.replace(quoted, F.lit(fixed.WILDCARD), F.lit(r"\E(.+?)\Q"))
+    return F.concat(F.lit(r"(?s)^\Q"), grouped, F.lit(r"\E\z"))
 
 
 def matches(log: Column, template: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import text
-from parselab.session import broadcast_if_small
+from parselab.session import broadcast_if_small, cut_lineage
 
 
 def outcome(prediction: Column, gold: Column) -> Column:
@@ -26,13 +26,14 @@ def score(df: DataFrame, response: str = "response") -> DataFrame:
     """
     answered = df.filter(F.col(response).isNotNull())
     output = answered.withColumn("Think-Process", text.normalise_output(F.col(response)))
-    found = output.withColumn("found", text.extract_template(F.col("`Think-Process`")))
+    # As a generator, so that a later filter on the result does not run the patterns a second time.
+    found = output.select("*", F.inline(F.array(text.extract_template(F.col("`Think-Process`")))))
     return found.select(
         *[c for c in df.columns if c != response],
         F.col("`Think-Process`"),
-        F.col("found.template").alias("Prediction"),
-        F.col("found.tier").alias("tier"),
-        outcome(F.col("found.template"), F.col("EventTemplate")).alias("outcome"),
+        F.col("template").alias("Prediction"),
+        "tier",
+        outcome(F.col("template"), F.col("EventTemplate")).alias("outcome"),
         F.col("EventTemplate").isNull().alias("gold_missing"),
     )
 
@@ -82,6 +83,7 @@ def running_accuracy(
         .agg(F.count(F.lit(1)).alias("rows"), _correct().alias("right"))
         .withColumn("chunk", F.floor(F.col("batch_id") / chunk))
     )
+    batches = cut_lineage(batches)  # read twice below, while the logs are read once
     earlier = W.partitionBy(by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         batches.groupBy(by, "chunk")
@@ -113,6 +115,7 @@ def grouping_accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     pairs = scored.groupBy(
         *by, F.col("Prediction").alias("pred"), F.col("EventTemplate").alias("gold")
     ).agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut_lineage(pairs)  # read three times below, while the logs are read once
     whole = F.coalesce(F.col("rows"), F.lit(0))
 
     def lone(one: str, other: str) -> DataFrame:

@@ -29,7 +29,9 @@ def assign_strategy(seeds: DataFrame, key: str = "seed_id", seed: int = fixed.SE
 def line_candidates(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """One row per line that may be a log."""
     found = replies.line_candidates(strip(F.col(text)), F.lit(None).cast("string"))
-    exploded = df.select(*keep, F.posexplode_outer(found).alias("pos", "line"))
+    exploded = df.select(*keep, found.alias("found")).select(
+        *keep, F.posexplode_outer("found").alias("pos", "line")
+    )
     return exploded.filter(F.col("pos").isNotNull()).select(
         *keep, "pos", F.col("line.input").alias("candidate")
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from parselab.functions import fixed
 
 BUCKET_DIGITS = 4  # 65 536 buckets
+MERGED_ROWS = 10_000  # a larger sample is not merged in one task
 
 
 def order_of(key: Column, seed: int = fixed.SEED) -> Column:
@@ -62,7 +63,13 @@ def ranked(
 
 
 def first_n(df: DataFrame, key: str, n: int, seed: int = fixed.SEED) -> DataFrame:
-    """The first ``n`` rows in seeded order: each task keeps its own best ``n``."""
+    """The first ``n`` rows in seeded order.
+
+    For a small ``n`` each task keeps its own best ``n`` and one task merges them. A larger sample is
+    cut by bucket, so that no task gets the rows of all others.
+    """
+    if n > MERGED_ROWS:
+        return ranked(df, key, seed=seed, upto=F.lit(n)).drop("rank")
     return df.orderBy(order_of(F.col(key), seed), key).limit(n)
 
 

@@ -26,8 +26,9 @@ def score(df: DataFrame, response: str = "response") -> DataFrame:
     """
     answered = df.filter(F.col(response).isNotNull())
     output = answered.withColumn("Think-Process", text.normalise_output(F.col(response)))
-    # As a generator, so that a later filter on the result does not run the patterns a second time.
-    found = output.select("*", F.inline(F.array(text.extract_template(F.col("`Think-Process`")))))
+    output = output.withColumn("found", text.extract_template(F.col("`Think-Process`")))
+    # Through a generator, so that a later filter on the result does not run the patterns a second time.
+    found = output.select("*", F.inline(F.array("found")))
     return found.select(
         *[c for c in df.columns if c != response],
         F.col("`Think-Process`"),
@@ -165,7 +166,8 @@ def normalised_log(log: Column) -> Column:
 
 def decontaminate(evaluation: DataFrame, tuning: DataFrame, log: str = "Content") -> DataFrame:
     """Evaluation rows whose normalised log is not in the tuning table."""
-    seen = broadcast_if_small(tuning.select(normalised_log(F.col(log)).alias("seen")).distinct())
+    seen = tuning.select(normalised_log(F.col(log)).alias("seen")).distinct()
+    seen = broadcast_if_small(seen, of=tuning)
     return evaluation.join(seen, normalised_log(F.col(log)) == F.col("seen"), "left_anti")
 
 

@@ -86,7 +86,8 @@ def attach_summaries(
         _text(F.col("error_summary"), mode).alias("error_summary"),
         F.col(order).alias("_order"),
     )
-    wanted = found.join(broadcast_if_small(keyed.select(*keys).distinct()), keys, "left_semi")
+    asked = keyed.select(*keys)
+    wanted = found.join(broadcast_if_small(asked.distinct(), of=asked), keys, "left_semi")
     last = dedup_keep_last(wanted, keys, "_order").drop("_order")
     return keyed.join(last, keys, "left").drop(*keys).withColumn(
         "error_summary", F.coalesce("error_summary", F.lit(""))

@@ -69,9 +69,11 @@ def read_taxonomy_blocks(
     keeps both.
     """
     pattern = _BLOCK[mode]
-    # The outer form: an inner explode adds a filter on its array, which would search every text again.
     matched = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    found = docs.select(*by, F.posexplode_outer(matched).alias("pos", "block")).filter("pos IS NOT NULL")
+    # The outer form: an inner explode adds a filter on its array, which would search every text again.
+    found = docs.select(*by, matched.alias("matched")).select(
+        *by, F.posexplode_outer("matched").alias("pos", "block")
+    ).filter("pos IS NOT NULL")
     parts = found.select(
         *by,
         "pos",

@@ -1 +1 @@
-"""The three runs a user starts, composed from the operators."""
+"""The runs a user starts, composed from the operators."""

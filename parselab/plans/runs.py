@@ -1,4 +1,4 @@
-"""Whole runs: score logs, merge error types, build a tuning set."""
+"""Whole runs: score logs, explain and label errors, merge error types, choose seeds, build a tuning set."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parselab.functions import fixed
-from parselab.operators import augment, merge, prompts, ranking, scoring, seeds, taxonomy
+from parselab.operators import augment, labels, merge, prompts, ranking, scoring, seeds, summaries, taxonomy
 from parselab.session import cut_lineage
 from parselab.sources import files
 
@@ -33,9 +33,38 @@ def score_logs(
     return summary
 
 
+def explain_errors(
+    diff: DataFrame, responses: DataFrame, path: str, mode: str = "observed"
+) -> DataFrame:
+    """Append the error summaries of the wrong rows to the summary table; returns this run's."""
+    files.require(diff, fixed.DIFF_COLUMNS)
+    found = cut_lineage(summaries.summarise_errors(diff, responses, mode))
+    files.append_csv(found.select(*fixed.SUMMARY_COLUMNS), path)
+    return found
+
+
+def taxonomy_request(
+    texts: DataFrame, key: str, model: str, sample_size: int | None = 500, seed: int = fixed.SEED
+) -> tuple[DataFrame, DataFrame]:
+    """The one prompt that asks for a taxonomy of the summaries, and the figures of its sample."""
+    files.require(texts, ["error_summary"])
+    cap = fixed.SUMMARY_CAP["reasoner" if "reasoner" in model.lower() else "chat"]
+    corpus = summaries.summary_corpus(texts, key, sample_size=sample_size, cap=cap, seed=seed)
+    figures = summaries.summary_overview(texts, sample_size=sample_size, cap=cap)
+    return prompts.taxonomy_prompt(corpus), figures
+
+
+def label_rows(diff: DataFrame, responses: DataFrame, types: DataFrame, path: str) -> DataFrame:
+    """Label the wrong rows and overwrite the label table; returns the labels."""
+    files.require(diff, fixed.DIFF_COLUMNS)
+    found = cut_lineage(labels.label_errors(diff, responses, types))
+    files.overwrite_csv(found.select(*fixed.LABEL_COLUMNS), path)
+    return found
+
+
 def merge_types(
     types: DataFrame,
-    labels: DataFrame,
+    labelled: DataFrame,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
     mode: str = "observed",
     pivots: int = 1,
@@ -46,21 +75,21 @@ def merge_types(
     empty and labels and types come back as they are.
     """
     pairs = cut_lineage(merge.similar_pairs(types, threshold, pivots=pivots))
-    counts = merge.type_counts(labels)
+    counts = merge.type_counts(labelled)
     plan = cut_lineage(merge.merge_plan(merge.pair_counts(pairs, types, counts)))
     resolved = merge.resolve_plan(plan, mode)
     return {
         "pairs": pairs,
         "plan": plan,
-        "labels": merge.apply_merge(labels, resolved),
+        "labels": merge.apply_merge(labelled, resolved),
         "effect": merge.merge_effect(counts, resolved),
         "types": taxonomy.surviving_types(types, plan),
     }
 
 
 def select_seeds(
-    labels: DataFrame,
-    summaries: DataFrame,
+    labelled: DataFrame,
+    texts: DataFrame,
     n: int,
     key: str = "row_id",
     order: str = "row_id",
@@ -68,9 +97,11 @@ def select_seeds(
     **options,
 ) -> DataFrame:
     """Round robin over the strata, then the summary of each seed."""
-    files.require(labels, fixed.LABEL_COLUMNS)
-    files.require(summaries, fixed.SUMMARY_COLUMNS)
-    return seeds.attach_summaries(seeds.round_robin(labels, n, key, **options), summaries, order, mode)
+    files.require(labelled, fixed.LABEL_COLUMNS)
+    files.require(texts, fixed.SUMMARY_COLUMNS)
+    # The chosen rows are few: written once, they are not drawn again for each join.
+    chosen = cut_lineage(seeds.round_robin(labelled, n, key, **options))
+    return seeds.attach_summaries(chosen, texts, order, mode)
 
 
 def tuning_set(

@@ -15,7 +15,26 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def sizing(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and split settings for an input size.
+
+    About 128 MB per reduce task, between one and ten waves of tasks; adaptive execution joins small
+    partitions and splits skewed ones from there. Very large inputs are read in larger splits, as map
+    tasks times reduce tasks is what a shuffle has to keep track of.
+    """
+    tasks = min(max(cores, -(-input_bytes // PARTITION_BYTES)), 10 * cores)
+    split = PARTITION_BYTES * (4 if input_bytes > 10 * 1024**4 else 1)
+    return {
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(split),
+    }
 
 
 def build(app: str = "parselab", **overrides: str) -> SparkSession:
@@ -52,12 +71,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, of: DataFrame | None = None) -> DataFrame:
     """Broadcast hint for a table of at most ``rows`` rows, else the table as it is.
 
-    The count stops at the bound. Beyond it Spark joins by shuffle and splits skewed keys itself.
+    The count stops at the bound; it is taken on ``of`` where that is a cheaper table with at least as many
+    rows. Beyond the bound Spark joins by shuffle and splits skewed keys itself.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    counted = df if of is None else of
+    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -55,3 +55,10 @@ def test_volume_cap(spark):
 def test_frequent_types(spark, rows):
     df = spark.createDataFrame([("a",)] * 3 + [("b",)] * 2 + [("c",)] * 2, "t string")
     assert set(rows(ranking.frequent_types(df, "t", 2))) == {("a",), ("b",)}
+
+
+def test_large_sample_is_cut_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "MERGED_ROWS", 10)
+    found = ranking.first_n(spark.range(500), "id", 60)
+    assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"] for r in found.collect()} == set(ordered(range(500))[:60])

@@ -40,11 +40,16 @@ def label_number(parsed: Column) -> Column:
 
 
 def label_text(parsed: Column) -> Column:
-    """The named error type; NULL when it is absent, empty, false-like or ``Unknown``."""
-    named = _get(parsed, "$[0].error_type", "variant")
+    """The named error type; NULL when it is absent, empty, zero, false or ``Unknown``."""
+    kind = _kind(_get(parsed, "$[0].error_type", "variant"))
     text = _get(parsed, "$[0].error_type", "string")
-    empty = text.isin("", "0", "0.0", "false", "[]", "{}", fixed.UNKNOWN)
-    return F.when(_kind(named).isNotNull() & (_kind(named) != "VOID") & ~empty, text)
+    number = _get(parsed, "$[0].error_type", "double")
+    return (
+        F.when(kind == "STRING", F.when(~text.isin("", fixed.UNKNOWN), text))
+        .when(kind.rlike("^(VOID|ARRAY<VOID>|OBJECT<>)$"), F.lit(None))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)"), F.when(number != 0, text))
+        .otherwise(text)
+    )
 
 
 def line_candidates(text: Column, output: Column) -> Column:

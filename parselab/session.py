@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,24 @@ def build(app: str = "parselab", **overrides: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession, *packages: str) -> None:
+    """Send package folders to the Python workers, once per application.
+
+    Not needed where the job was submitted with ``--py-files`` or the library is installed.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    for package in packages:
+        folder = Path(package).resolve()
+        target = f"{tempfile.mkdtemp(prefix='parselab-')}/{folder.name}"
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", folder.parent, folder.name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

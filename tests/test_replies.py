@@ -14,6 +14,13 @@ def types(spark):
         ('{"label": 2, "error_type": "Own"}', ("Own", 2)),
         ('{"label": 2, "error_type": ""}', ("Two", 2)),
         ('{"label": 2, "error_type": null}', ("Two", 2)),
+        ('{"label": 2, "error_type": 0}', ("Two", 2)),
+        ('{"label": 2, "error_type": false}', ("Two", 2)),
+        ('{"label": 2, "error_type": []}', ("Two", 2)),
+        ('{"label": 2, "error_type": {}}', ("Two", 2)),
+        ('{"label": 2, "error_type": "0"}', ("0", 2)),
+        ('{"label": 2, "error_type": "[]"}', ("[]", 2)),
+        ('{"label": 2, "error_type": 5}', ("5", 2)),
         ('{"label": 1.0}', ("One", 1)),
         ('{"label": true}', ("One", 1)),
         ('{"label": 1.5}', ("Invalid_Label", 0)),

@@ -56,7 +56,6 @@ INVALID_LABEL = "Invalid_Label"
 UNKNOWN = "Unknown"
 
 # Variant replies.
-JSON_ARRAY = r"(?s)\[.*\]"
 FLAT_OBJECT = r'(?s)\{[^{}]*"example"[^{}]*"template"[^{}]*\}'
 NOT_A_LOG = ["```", "/*", "*/"]
 LOG_MIN = 5

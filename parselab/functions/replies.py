@@ -17,14 +17,23 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def json_object_slice(text: Column) -> Column:
-    """From the first ``{`` to the last ``}``; NULL when a brace is absent, '' when they cross."""
-    begin = F.instr(text, "{")
-    end = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    both = text.contains("{") & text.contains("}")
+def _outermost(text: Column, opening: str, closing: str) -> Column:
+    """From the first opening to the last closing sign; NULL when one is absent, '' when they cross."""
+    begin = F.instr(text, opening)
+    end = F.length(text) - F.instr(F.reverse(text), closing) + 1
+    both = text.contains(opening) & text.contains(closing)
     return F.when(both, F.when(end < begin, F.lit("")).otherwise(F.substring(text, begin, end - begin + 1)))
 
 
+def json_object_slice(text: Column) -> Column:
+    return _outermost(text, "{", "}")
+
+
+def json_array_slice(text: Column) -> Column:
+    """The widest ``[...]`` of a text, or '' without one."""
+    return F.coalesce(_outermost(text, "[", "]"), F.lit(""))
+
+
 def parse_single(text: Column) -> Column:
     """VARIANT array that holds the one JSON value of ``text``; NULL when it holds none or two."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))

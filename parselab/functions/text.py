@@ -53,9 +53,16 @@ def strip_markers(text: Column) -> Column:
     return text
 
 
+def line_with(text: Column, word: str) -> Column:
+    """The first line that holds ``word``, found by position: one pass however long the lines are."""
+    at = F.instr(text, word)
+    before = F.substring_index(F.substring(text, F.lit(1), at - 1), "\n", -1)
+    return F.concat(before, F.substring_index(F.substr(text, at), "\n", 1))
+
+
 def inject_marker(text: Column) -> Column:
     """Append a template marker with the first wildcard line where the marker is absent."""
-    first = F.regexp_extract(text, r"[^\n]*<\*>[^\n]*", 0)
+    first = line_with(text, fixed.WILDCARD)
     marked = F.when(
         ~text.contains(fixed.MARKER) & text.contains(fixed.WILDCARD),
         F.concat(text, F.lit(f"\n\n{fixed.MARKER} "), strip(first)),
@@ -129,19 +136,6 @@ def shorten(text: Column, limit: int = fixed.SUMMARY_LIMIT) -> Column:
     ).otherwise(text)
 
 
-def summary(response: Column, mode: str = "observed") -> Column:
-    """The error summary in a reply.
-
-    ``observed`` always ends at the last paragraph, as the marker rule finds an empty text;
-    ``intended`` takes the text after the last marker first.
-    """
-    text = clean_reasoning(response)
-    paragraph = last_paragraph(text)
-    if mode == "intended":
-        paragraph = F.coalesce(F.nullif(summary_by_marker(text), F.lit("")), paragraph)
-    return F.coalesce(shorten(paragraph), F.lit(""))
-
-
 def na_words(text: Column) -> Column:
     """NULL for the words a CSV cell may hold for a missing value."""
     return F.when(~text.isin(fixed.NA_WORDS), text)

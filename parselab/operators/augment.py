@@ -47,7 +47,7 @@ def parse_variants(
     """
     original, template = F.col("Original_Log"), F.col("Correct_Template")
     read = df.withColumn("_text", strip(F.coalesce(F.col(response), F.lit(""))))
-    read = read.withColumn("_array", F.regexp_extract("_text", fixed.JSON_ARRAY, 0))
+    read = read.withColumn("_array", replies.json_array_slice(F.col("_text")))
     read = read.withColumn("_json", replies.parse_single(F.col("_array")))
     read = read.withColumn("_items", F.try_variant_get("_json", "$[0]", "array<variant>"))
     has_array, items = F.col("_array") != "", F.col("_items")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parselab.functions import fixed
-from parselab.functions.text import strip, summary
+from parselab.functions.text import clean_reasoning, last_paragraph, shorten, strip, summary_by_marker
 from parselab.operators.prompts import attach_responses, error_prompts
 from parselab.operators.ranking import capped_sample
 
@@ -29,6 +29,25 @@ def clean_summaries(df: DataFrame, column: str = "error_summary") -> DataFrame:
     return df.withColumn(column, strip(F.col(column))).filter(F.length(column) > fixed.SUMMARY_MIN)
 
 
+def with_summary(
+    df: DataFrame, response: str = "response", into: str = "error_summary", mode: str = "observed"
+) -> DataFrame:
+    """Add the error summary in a reply; '' when the reply is blank.
+
+    ``observed`` always ends at the last paragraph, as the marker rule finds an empty text;
+    ``intended`` takes the text after the last marker first. Each step is a column of its own, so
+    that the patterns run once.
+    """
+    read = df.withColumn("_clean", clean_reasoning(F.col(response)))
+    read = read.withColumn("_found", last_paragraph(F.col("_clean")))
+    if mode == "intended":
+        read = read.withColumn("_marked", summary_by_marker(F.col("_clean")))
+        read = read.withColumn("_found", F.when(F.col("_marked") != "", F.col("_marked")).otherwise(F.col("_found")))
+    return read.withColumn(into, F.coalesce(shorten(F.col("_found")), F.lit(""))).drop(
+        "_clean", "_found", "_marked"
+    )
+
+
 def error_replies(diff: DataFrame, responses: DataFrame) -> DataFrame:
     """Wrong rows that have all fields, with their reply; a failed call gives an empty text."""
     complete = drop_null_rows(diff, fixed.DIFF_COLUMNS)
@@ -39,11 +58,11 @@ def error_replies(diff: DataFrame, responses: DataFrame) -> DataFrame:
 def summarise_errors(diff: DataFrame, responses: DataFrame, mode: str = "observed") -> DataFrame:
     """Error summary per wrong row."""
     kept = [c for c in diff.columns if c not in fixed.PREDICTION_COLUMNS]
-    return error_replies(diff, responses).select(
+    return with_summary(error_replies(diff, responses), mode=mode).select(
         *kept,
         F.col("Content").alias("original_log"),
         F.col("EventTemplate").alias("correct_template"),
-        summary(F.col("response"), mode).alias("error_summary"),
+        "error_summary",
     )
 
 

@@ -19,7 +19,7 @@ from parselab.functions.text import lines, strip
 # A block: heading with letter and title, then its text up to the next heading or the end. The strict text
 # holds no "#" at all and is taken in one go; the loose one may hold single ones.
 _HEAD = r"(?s)#### ([A-Z])\. ([^\n]+)\n- "
-_BLOCK = {"observed": _HEAD + r"([^#]++)(?=####|\z)", "intended": _HEAD + r"((?:[^#]|#(?!###))++)"}
+_BLOCK = {"observed": _HEAD + r"([^#]++)(?=####|\z)", "intended": _HEAD + r"([^#]++(?:#(?!###)[^#]*+)*+)"}
 
 
 def read_taxonomy(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:

@@ -106,3 +106,8 @@ def test_line_candidates_are_rows(spark):
     df = spark.createDataFrame([(1, "```\n  a line here \n*/ no\nshort\n\nsecond line")], "id int, t string")
     found = augment.line_candidates(df, "t", ["id"]).orderBy("pos").collect()
     assert [r["candidate"] for r in found] == ["a line here", "second line"]
+
+
+def test_brackets_that_never_close(spark):
+    assert variants(spark, 1, "[" * 5000 + "\nlong line")[-1] == ("long line", "t <*>")
+    assert variants(spark, 1, "] a long line [") == [("] a long line [", "t <*>")]

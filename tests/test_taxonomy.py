@@ -115,3 +115,12 @@ def test_analysis_document(spark):
     (row,) = taxonomy.analysis_document(reply, overview, "s.csv", "m").collect()
     assert "based on 5 error summaries\nModel used: m\n" in row["document"]
     assert row["document"].endswith("- Analysis sample size: 5\n\n---\n\n## Error Type Classification\n\n#### A. T")
+
+
+def test_long_block(spark):
+    """A block of many lines and many signs parses without deep recursion."""
+    body = "\n".join(f"line {n} # sign" for n in range(20_000))
+    df = spark.createDataFrame([(f"#### A. T\n- {body}\n#### B. U\n- x\n",)], "text string")
+    found = {r["letter"]: r for r in taxonomy.read_taxonomy_blocks(df, mode="intended").collect()}
+    assert set(found) == {"A", "B"} and found["A"]["description"].endswith("line 19999 # sign")
+    assert {r["letter"] for r in taxonomy.read_taxonomy_blocks(df).collect()} == {"B"}

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parselab.functions import text
+from parselab.operators import summaries
 
 
 def run(spark, function, values):
@@ -10,6 +11,11 @@ def run(spark, function, values):
     return [r["r"] for r in out]
 
 
+def summarised(spark, values, mode="observed"):
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, response string")
+    return [r["error_summary"] for r in summaries.with_summary(df, mode=mode).orderBy("n").collect()]
+
+
 def test_strip_is_unicode(spark):
     assert run(spark, text.strip, ["\N{NO-BREAK SPACE}\N{EM SPACE} a b \t", " \x1c\n", None]) == ["a b", "", None]
 
@@ -58,19 +64,24 @@ def test_reasoning_is_cleaned(spark):
 
 def test_summary_modes(spark):
     reply = 'Why.\n\nerror_summary: one\n\nerror_summary: "Two  X" '
-    assert run(spark, text.summary, [reply, "", "  \n \n", None]) == ['error_summary: "Two  X"', "", "", ""]
-    assert run(spark, lambda c: text.summary(c, "intended"), [reply, "A\n  \nB", "x\n\nerror_summary: "]) == [
-        "two x",
-        "B",
-        "error_summary:",
-    ]
+    assert summarised(spark, [reply, "", "  \n \n", None]) == ['error_summary: "Two  X"', "", "", ""]
+    intended = summarised(spark, [reply, "A\n \N{NO-BREAK SPACE} \nB", "x\n\nerror_summary: "], "intended")
+    assert intended == ["two x", "B", "error_summary:"]
 
 
 def test_long_summary_is_cut(spark):
-    (found,) = run(spark, text.summary, ["a" * 1001])
-    assert found == "a" * 997 + "..."
-    assert run(spark, text.summary, ["a" * 1000]) == ["a" * 1000]
+    assert summarised(spark, ["a" * 1001, "a" * 1000]) == ["a" * 997 + "...", "a" * 1000]
 
 
 def test_missing_value_fills_as_nan(spark):
     assert run(spark, lambda c: text.fill("<{x}> {y}", x=c), ["a{x}", None]) == ["<a{x}> {y}", "<nan> {y}"]
+
+
+def test_long_lines_cost_one_pass(spark):
+    """Lines of 200 000 characters, without and with a wildcard, and brackets that never close."""
+    wide = "word " * 40_000
+    given = [wide + "\n" + wide + "<*>", wide, "[" * 3000 + wide]
+    marked = run(spark, text.normalise_output, given)
+    assert marked[0].endswith("<*>\n\n\n\n") and marked[0].count("TEMPLATE: word") == 1
+    assert marked[1] == wide.strip() + "\n\n\n\n"
+    assert [r["tier"] for r in run(spark, text.extract_template, marked)] == [1, 4, 4]

@@ -286,8 +286,9 @@ def summary_fallback(spark, d):
 def summary_final(spark, d):
     rows = data.written_diff(spark, d)
     replied = summaries.error_replies(rows, data.summary_responses(rows))
-    modes = [text.summary(F.col("response"), mode).alias(mode) for mode in ("observed", "intended")]
-    return replied.select("row_id", *modes)
+    for mode in ("observed", "intended"):
+        replied = summaries.with_summary(replied, into=mode, mode=mode)
+    return replied.select("row_id", "observed", "intended")
 
 
 @query

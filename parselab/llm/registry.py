@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.llm import chat, packing, quality, secret_scan, sharding, token_counts, token_matrix
+from parselab.llm import chat, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
 from parselab.llm.common import table
 from parselab.session import new_path
 
@@ -50,6 +50,12 @@ def op4_sharding(spark, d):
     return sharding.assign_shards(table(spark, d, "documents"))
 
 
+@query
+def op5_near_duplicates(spark, d):
+    found = minhash.near_duplicates(table(spark, d, "documents"), rule=minhash.Rule(width=2))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query
 def op6_quality(spark, d):
     return quality.assess(table(spark, d, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.llm import chat, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
+from parselab.llm import chat, decontaminate, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
 from parselab.llm.common import table
 from parselab.session import new_path
 
@@ -61,6 +61,12 @@ def op6_quality(spark, d):
     return quality.assess(table(spark, d, "documents"))
 
 
+@query
+def op7_decontamination(spark, d):
+    found = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return found.drop("no_id", "text_hash").distinct()
+
+
 @query
 def op8_secrets(spark, d):
     return secret_scan.scan(table(spark, d, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.llm import chat, decontaminate, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
+from parselab.llm import chat, decontaminate, html_blocks, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
 from parselab.llm.common import table
 from parselab.session import new_path
 
@@ -26,6 +26,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_article_text(spark, d):
+    return html_blocks.extract(table(spark, d, "pages"))
+
+
 @query
 def op2_token_matrix(spark, d):
     import public_tokenizers

@@ -28,6 +28,7 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("head script style noscript template textarea title iframe noframes noembed svg object canvas".split())
+APART = "nav", "footer", "aside", "form", "menu", "dialog", "button", "select"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split()
@@ -84,6 +85,7 @@ class Block:
     tag: str
     text: str
     linked: float
+    apart: bool
 
 
 @dataclass
@@ -95,6 +97,7 @@ class _Open:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     path: tuple[str, int] = ("", 0)
+    apart: bool = False
 
     def cut(self, to: int) -> None:
         for tag, _ in self.stack[to:]:
@@ -132,6 +135,7 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if not state.pieces:
             block = next((t for t, _ in reversed(state.stack) if t not in INLINE), "")
             state.path = block, state.stack[-1][1]
+            state.apart = any(state.count[t] for t in APART)
         state.pieces.append(html.unescape(piece) if "&" in piece else piece)
         if state.count["a"] > 0:
             state.linked += len(piece)
@@ -140,7 +144,7 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if state.pieces:
             text = " ".join("".join(state.pieces).split())
             if text:
-                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text))))
+                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text)), state.apart))
             state.pieces, state.linked = [], 0
 
     at = 0
@@ -257,6 +261,8 @@ def trained() -> dict[str, np.ndarray]:
 def article_texts(pages: list[str], weights: dict[str, np.ndarray], paths: Paths, cells: int = 20_000) -> list[str]:
     """The main text of each page: the blocks labelled as article, joined by line ends.
 
+    After the labeller, blocks in an element that by its name is never article text (``APART``) are let go.
+
     Pages go through the network in groups of about equal length and at most ``cells`` blocks (or one page).
     """
     buckets = _Buckets()
@@ -267,7 +273,7 @@ def article_texts(pages: list[str], weights: dict[str, np.ndarray], paths: Paths
         x, mask = padded([features(found[k], paths, buckets) for k in group])
         chance = probabilities(x, mask, weights)
         for column, k in enumerate(group):
-            out[k] = "\n".join(b.text for t, b in enumerate(found[k]) if chance[t, column] >= 0.5)
+            out[k] = "\n".join(b.text for t, b in enumerate(found[k]) if chance[t, column] >= 0.5 and not b.apart)
 
     for k, page in enumerate(pages):
         if made := blocks(page, paths):

@@ -14,7 +14,7 @@ import numpy as np
 
 from parselab.llm import html_blocks as net
 
-PAGES = 6000
+PAGES = 8000
 MARK = ""  # put before article text in generated pages
 SYLLABLES = [
     "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split(),
@@ -59,6 +59,9 @@ class Pages:
         made = [self.word() for _ in range(self.r.randint(low, high))]
         return " ".join(made).capitalize()
 
+    def site(self) -> str:
+        return self.r.choice((self.word(), f"{self.word()}.example.com", f"{self.word()}.{self.word()}.org"))
+
     def prose(self, most: int = 6) -> str:
         ends = ".", ".", ".", "!", "?"
         said = [self.words(1, 22).replace(" ", ", ", self.r.random() < 0.4) + self.r.choice(ends) for _ in range(self.r.randint(1, most))]
@@ -67,8 +70,11 @@ class Pages:
     def _dressed(self, text: str) -> str:
         if self.r.random() < 0.15:
             text = text.replace(" ", " &amp; ", 1)
-        if self.r.random() < 0.1:
-            text = text.replace(" ", self.r.choice((" ### ", "*** ", "!! ", " | ", "&&& ")))
+        odd = self.r.random()
+        if odd < 0.1:
+            text = text.replace(" ", self.r.choice((" ### ", "*** ", "!! ", " | ", "&amp;&amp;&amp; ", "%%% ", "$$$ ")))
+        elif odd < 0.15:
+            text = text.upper()
         if self.r.random() < 0.15:
             cut = text.split(" ")
             at = self.r.randrange(len(cut))
@@ -122,7 +128,7 @@ class Pages:
 
     def footer(self) -> str:
         a, z = self.opened("footer", ("footer",))
-        inside = [self.short("footer"), f"<p>{self.short('footer')}</p>", f"&copy; {self.word()} &middot; {self.prose(1)}", self.listed(lambda: self.short("menu"), 1, 5)]
+        inside = [self.short("footer"), f"<p>{self.short('footer')}</p>", f"&copy; {self.site()} &middot; {self.prose(1)}", f"&copy; {self.site()} {self.prose(2)}", self.prose(2), self.listed(lambda: self.short("menu"), 1, 5)]
         return a + "".join(self.r.sample(inside, self.r.randint(1, 3))) + z
 
     def advert(self) -> str:
@@ -159,6 +165,11 @@ class Pages:
 
     def paragraph(self) -> str:
         r, text = self.r.random(), MARK + self.prose(1 if self.r.random() < 0.2 else 9)
+        odd = self.r.random()
+        if odd < 0.04:
+            text = MARK + " ".join([self.word()] * self.r.randint(5, 60))
+        elif odd < 0.08:
+            text = MARK + self.word().capitalize() + self.r.choice((".", "", ","))
         if r < 0.12:
             return f"<p><b>{text}<br>"  # not closed
         if r < 0.17:
@@ -277,7 +288,7 @@ def start(hidden: int, seed: int, dtype=np.float32) -> dict[str, np.ndarray]:
     }
 
 
-def train(data, hidden: int = 24, rounds: int = 5, batch: int = 48, rate: float = 0.004, seed: int = 3) -> dict[str, np.ndarray]:
+def train(data, hidden: int = 24, rounds: int = 7, batch: int = 48, rate: float = 0.004, seed: int = 3) -> dict[str, np.ndarray]:
     """Adam over batches of pages of about equal length."""
     weights = start(hidden, seed)
     first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
@@ -289,6 +300,7 @@ def train(data, hidden: int = 24, rounds: int = 5, batch: int = 48, rate: float
         for b in g.permutation(len(batches)):
             rows = [data[k] for k in batches[b]]
             x, mask = net.padded([r for r, _ in rows])
+            x[:, g.random(len(rows)) < 0.4, net.PATH_SIZE : net.PATH_SIZE + net.WORD_SIZE] = 0  # words say little
             labels = np.zeros(mask.shape, np.float32)
             for k, (_, own) in enumerate(rows):
                 labels[: len(own), k] = own

@@ -18,19 +18,48 @@ def slot_count(template: Column) -> Column:
     return ((F.length(template) - F.length(without)) / len(fixed.WILDCARD)).cast("int")
 
 
-def template_pattern(template: Column) -> Column:
-    """Regular expression of a template: one capture group per wildcard, all other text quoted."""
-    quoted = F.replace(template, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    grouped = F.replace(quoted, F.lit(fixed.WILDCARD), F.lit(r"\E(.+?)\Q"))
-    return F.concat(F.lit(r"(?s)^\Q"), grouped, F.lit(r"\E\z"))
+def read_slots(log: Column, template: Column) -> Column:
+    """The text at each wildcard, of one character at least; NULL when the log does not fit the template.
 
-
-def matches(log: Column, template: Column) -> Column:
-    return F.rlike(log, template_pattern(template))
+    Constant parts are found one after the other, each at its first place that leaves its wildcard a character, the last
+    one at the end. Earliest places leave the most room, so they are what the lazy groups of a pattern would take,
+    without going back: the work is one search per part.
+    """
+    parts = literal_parts(template)
+    count = F.size(parts)
+    first, last = F.get(parts, F.lit(0)), F.get(parts, count - 1)
+    start = F.struct(
+        F.startswith(log, first).alias("fits"), F.length(first).alias("read"), F.array().cast("array<string>").alias("values")
+    )
+
+    def find(state: Column, part: Column) -> Column:
+        # Places count from 1; a wildcard begins at ``read + 1``.
+        place = F.when(part == "", state["read"] + 2).otherwise(F.call_function("locate", part, log, state["read"] + 2))
+        fits = state["fits"] & (place > 0) & (place <= F.length(log) + 1)
+        value = F.substr(log, state["read"] + 1, place - state["read"] - 1)
+        return F.when(
+            fits,
+            F.struct(
+                F.lit(True).alias("fits"),
+                (place - 1 + F.length(part)).alias("read"),
+                F.concat(state["values"], F.array(value)).alias("values"),
+            ),
+        ).otherwise(
+            F.struct(F.lit(False).alias("fits"), state["read"].alias("read"), state["values"].alias("values"))
+        )
+
+    middle = F.slice(parts, F.lit(2), F.greatest(count - 2, F.lit(0)))
+    done = F.aggregate(middle, start, find)
+    end = F.length(log) - F.length(last)
+    value = F.substr(log, done["read"] + 1, end - done["read"])
+    whole = F.when(
+        done["fits"] & (end > done["read"]) & F.endswith(log, last), F.concat(done["values"], F.array(value))
+    )
+    return F.when(count == 1, F.when(log == template, F.array().cast("array<string>"))).otherwise(whole)
 
 
-def slot_value(log: Column, pattern: Column, slot: Column) -> Column:
-    return F.call_function("regexp_extract", log, pattern, slot)
+def matches(log: Column, template: Column) -> Column:
+    return F.when(log.isNotNull() & template.isNotNull(), read_slots(log, template).isNotNull())
 
 
 def refill(template: Column, values: Column) -> Column:

@@ -107,15 +107,15 @@ def generate_variants(
 ) -> DataFrame:
     """Ask, parse, and ask again for what is missing, until a seed has ``n`` variants or gets none.
 
-    ``responder`` turns a request table into ``request_id, response`` for a round: a stored reply
-    table or a model step. Each further round adds at least one variant to each seed it asks for, so
+    ``responder`` turns a request table, in which each prompt stands once, into ``request_id, response`` for a round:
+    a stored reply table or a model step. Seeds with equal prompts share the reply. Each further round adds at least one variant to each seed it asks for, so
     ``n`` rounds are enough for every seed. Every round is checkpointed and never asked twice.
     """
 
     def ask(prompts: DataFrame, round_no: int) -> DataFrame:
         # The request table is written out: the responder reads it, and the replies join it.
         keyed = cut_lineage(asking.with_request_id(prompts))
-        replied = asking.attach_responses(keyed, responder(keyed, round_no))
+        replied = asking.attach_responses(keyed, responder(keyed.dropDuplicates(["request_id"]), round_no))
         return cut_lineage(parse_variants(replied))
 
     made = ask(asking.augment_prompts(seeds, document, n), 0).withColumn("round", F.lit(0))
@@ -180,14 +180,10 @@ def slot_values(
     held = logs.filter(templates.wildcard(F.col(template))).select(
         *by,
         F.col(template).alias("template"),
-        F.col(log).alias("log"),
-        templates.template_pattern(F.col(template)).alias("pattern"),
-        templates.slot_count(F.col(template)).alias("slots"),
+        F.posexplode_outer(templates.read_slots(F.col(log), F.col(template))).alias("at", "value"),
     )
-    matching = held.filter(F.rlike("log", F.col("pattern")))
-    slots = matching.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
-    value = templates.slot_value(F.col("log"), F.col("pattern"), F.col("slot"))
-    return slots.groupBy(*by, "template", "slot", value.alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    found = held.filter(F.col("at").isNotNull()).withColumn("slot", F.col("at") + 1)
+    return found.groupBy(*by, "template", "slot", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def substitute_variables(

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from parselab.functions import fixed
 from parselab.operators.ranking import first_n
-from parselab.session import broadcast_if_small, cut_lineage
+from parselab.session import cut_lineage
 
 
 def embed_attach(
@@ -75,7 +75,7 @@ def similar_pairs(
                 {"pos": batch["pos"], "vector": list(unit), "pivot": pivot.astype("int32"), "angle": angle}
             )
 
-    placed = rows.mapInPandas(place, "pos long, vector array<double>, pivot int, angle double")
+    placed = cut_lineage(rows.mapInPandas(place, "pos long, vector array<double>, pivot int, angle double"))
     # One row per pivot: its radius and its number of blocks.
     cells = {
         r["pivot"]: (r["radius"], -(-r["n"] // block_rows))
@@ -212,7 +212,6 @@ def resolve_plan(plan: DataFrame, mode: str = "observed") -> DataFrame:
 
 def apply_merge(labels: DataFrame, resolved: DataFrame) -> DataFrame:
     """Rewrite ``Error_Type``; ``Error_Number`` stays as it is."""
-    resolved = broadcast_if_small(resolved)
     joined = labels.join(resolved, labels["Error_Type"] == resolved["from_type"], "left")
     return joined.withColumn("Error_Type", F.coalesce("to_type", "Error_Type")).drop("from_type", "to_type")
 

@@ -169,11 +169,12 @@ def distinct_requests(prompts: DataFrame) -> DataFrame:
 def attach_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     """Rows with their reply: ``answered`` tells a missing reply from an empty one.
 
-    Only the hash goes through the join; prompts stay behind.
+    Only the hash goes through the join; prompts stay behind. A request has one reply, shared by all rows that ask it:
+    of several stored ones the least text counts, and a text before none.
     """
     keyed = prompts if "request_id" in prompts.columns else with_request_id(prompts)
     narrow = keyed.drop("prompt", "system_prompt")
-    replies = responses.select("request_id", "response", F.lit(True).alias("answered"))
+    replies = responses.groupBy("request_id").agg(F.min("response").alias("response"), F.lit(True).alias("answered"))
     return narrow.join(replies, "request_id", "left").withColumns(
         {
             "answered": F.coalesce("answered", F.lit(False)),

@@ -15,13 +15,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import fixed
+from parselab.session import cut_lineage
 
 BUCKET_DIGITS = 4  # 65 536 buckets
-MERGED_ROWS = 10_000  # a larger sample is not merged in one task
 
 
 def order_of(key: Column, seed: int = fixed.SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    """A missing key orders like an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def bucket_offsets(df: DataFrame, strata: Sequence[str] = (), bucket: str = "bucket") -> DataFrame:
@@ -63,14 +64,8 @@ def ranked(
 
 
 def first_n(df: DataFrame, key: str, n: int, seed: int = fixed.SEED) -> DataFrame:
-    """The first ``n`` rows in seeded order.
-
-    For a small ``n`` each task keeps its own best ``n`` and one task merges them. A larger sample is
-    cut by bucket, so that no task gets the rows of all others.
-    """
-    if n > MERGED_ROWS:
-        return ranked(df, key, seed=seed, upto=F.lit(n)).drop("rank")
-    return df.orderBy(order_of(F.col(key), seed), key).limit(n)
+    """The first ``n`` rows in seeded order, cut by bucket, so that no task gets the rows of all others."""
+    return ranked(df, key, seed=seed, upto=F.lit(n)).drop("rank")
 
 
 def sample_rows(df: DataFrame, key: str, n: int | None, seed: int = fixed.SEED) -> DataFrame:
@@ -85,20 +80,16 @@ def capped_sample(
     cap: int,
     seed: int = fixed.SEED,
 ) -> DataFrame:
-    """A requested sample when it is smaller than the table, else at most ``cap`` rows.
+    """A requested sample when it is smaller than the table, else at most ``cap`` rows, with its ``position``.
 
     The size is not monotone: with 500 requested and a cap of 200, 400 rows give 200 but 501 give 500.
     """
-    bound = max(sample_size or 0, cap)
     total = df.agg(F.count(F.lit(1)).alias("n"))
     if sample_size:
         size = F.when(F.col("n") > sample_size, sample_size).otherwise(F.least("n", F.lit(cap)))
     else:
         size = F.least("n", F.lit(cap))
-    wanted = total.select(size.alias("wanted")).scalar()
-    few = first_n(df, key, bound, seed)
-    position = F.row_number().over(W.orderBy(order_of(F.col(key), seed), key))  # over <= bound rows
-    return few.withColumn("position", position).filter(F.col("position") <= wanted)
+    return ranked(df, key, seed=seed, upto=total.select(size.alias("wanted")).scalar()).withColumnRenamed("rank", "position")
 
 
 def volume_cap(df: DataFrame, key: str, baseline: DataFrame, seed: int = fixed.SEED) -> DataFrame:
@@ -110,7 +101,17 @@ def volume_cap(df: DataFrame, key: str, baseline: DataFrame, seed: int = fixed.S
 def max_samples(
     df: DataFrame, order: Sequence[str], n: int = fixed.MAX_TUNING_ROWS
 ) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows by ``order``.
+
+    Rows are dealt out by ranges of the order; the sizes of the ranges tell which of them hold the first ``n``, and only the
+    last of those is cut. So a task ranks one range, whatever ``n`` is.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    offsets = bucket_offsets(dealt, bucket="range").filter(F.col("offset") < n)  # a row per range
+    inside = W.partitionBy("range").orderBy(*order)
+    place = F.col("offset") + F.row_number().over(inside)
+    kept = dealt.join(F.broadcast(offsets), "range").withColumn("place_in_all", place)
+    return kept.filter(F.col("place_in_all") <= n).drop("range", "offset", "place_in_all")
 
 
 def frequent_types(df: DataFrame, type_col: str, k: int) -> DataFrame:

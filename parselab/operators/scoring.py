@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import text
-from parselab.session import broadcast_if_small, cut_lineage
+from parselab.session import cut_lineage
 
 
 def outcome(prediction: Column, gold: Column) -> Column:
@@ -79,10 +79,10 @@ def running_accuracy(
     one large system is not summed up in one task.
     """
     batches = (
-        scored.withColumn("batch_id", F.floor(F.col(order) / batch_size))
+        scored.withColumn("batch_id", F.expr(f"`{order}` div {int(batch_size)}"))
         .groupBy(by, "batch_id")
         .agg(F.count(F.lit(1)).alias("rows"), _correct().alias("right"))
-        .withColumn("chunk", F.floor(F.col("batch_id") / chunk))
+        .withColumn("chunk", F.expr(f"batch_id div {int(chunk)}"))
     )
     batches = cut_lineage(batches)  # read twice below, while the logs are read once
     earlier = W.partitionBy(by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -167,10 +167,33 @@ def normalised_log(log: Column) -> Column:
 def decontaminate(evaluation: DataFrame, tuning: DataFrame, log: str = "Content") -> DataFrame:
     """Evaluation rows whose normalised log is not in the tuning table."""
     seen = tuning.select(normalised_log(F.col(log)).alias("seen")).distinct()
-    seen = broadcast_if_small(seen, of=tuning)
     return evaluation.join(seen, normalised_log(F.col(log)) == F.col("seen"), "left_anti")
 
 
+def passage_leaks(
+    documents: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text",
+    passage_key: str = "item_id", passage: str = "text", words: int = 5,
+) -> DataFrame:
+    """``key, passage_key`` of documents that contain a passage.
+
+    The second to the sixth word of a passage stand between white space wherever it occurs, so documents and passages meet on
+    the hash of such a run of ``words`` words, and only pairs that meet are compared as texts. Passages of fewer than
+    ``words + 2`` words are not searched.
+    """
+    hits = passages.select(F.col(passage_key).alias("passage_key"), F.col(passage).alias("passage"))
+    split = hits.withColumn("parts", F.split(F.trim("passage"), r"\s+")).filter(F.size("parts") >= words + 2)
+    anchors = split.select("passage_key", F.xxhash64(F.slice("parts", 2, words)).alias("anchor"))
+    parts = documents.select(F.col(key).alias("key"), F.split(text, r"\s+").alias("parts")).filter(F.size("parts") >= words)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("parts") - words + 1), lambda at: F.xxhash64(F.slice("parts", at, words))
+    )
+    met = parts.select("key", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchors, "anchor")
+    whole = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    pairs = met.select("key", "passage_key").distinct().join(whole, "key").join(hits, "passage_key")
+    found = pairs.filter(F.contains("text", "passage"))
+    return found.select(F.col("key").alias(key), F.col("passage_key").alias(passage_key)).distinct()
+
+
 def run_summary(scored: DataFrame, input_file: str, output_dir: str) -> DataFrame:
     """One row of run metrics; an empty run reports 0."""
     return accuracy(scored).select(

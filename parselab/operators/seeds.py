@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from parselab.functions import fixed
 from parselab.functions.text import strip
-from parselab.operators.ranking import order_of, ranked
-from parselab.session import broadcast_if_small
+from parselab.operators.ranking import ranked
 
 
 def strata(df: DataFrame, column: str = "Error_Number") -> DataFrame:
@@ -35,23 +34,23 @@ def round_robin(
 ) -> DataFrame:
     """Fill ``n`` slots by turns; slot i belongs to stratum i mod K, and an empty turn is lost.
 
-    A stratum never needs more than its first ``n`` rows, which each map task cuts before the
-    shuffle, so a large stratum costs no more than a small one. Only the table of strata, one row
-    each, is numbered as a whole.
+    A stratum gives at most its first ceil(n / K) rows, which are ranked in buckets, so a large stratum
+    is spread over many tasks for any ``n``. Only the table of strata, one row each, is numbered as a whole.
     """
     rows = df if include_failed else df.filter(F.col("Error_Number") != 0)
-    best = W.partitionBy(strata_by).orderBy(order_of(F.col(key), seed), key)
-    first = rows.withColumn("turn", F.row_number().over(best)).filter(F.col("turn") <= n)
-    numbered = rows.select(strata_by).distinct().select(
+    named = rows.select(strata_by).distinct()
+    most = named.agg(F.ceil(F.lit(n) / F.greatest(F.count(F.lit(1)), F.lit(1)))).scalar()
+    numbered = named.select(
         strata_by,
         (F.row_number().over(W.orderBy(strata_by)) - 1).alias("index"),
         F.count(F.lit(1)).over(W.partitionBy()).alias("strata"),
     )
     return (
-        first.join(numbered, strata_by)
-        .withColumn("slot", (F.col("turn") - 1) * F.col("strata") + F.col("index"))
+        ranked(rows, key, [strata_by], seed, upto=most)
+        .join(numbered, strata_by)
+        .withColumn("slot", (F.col("rank") - 1) * F.col("strata") + F.col("index"))
         .filter(F.col("slot") < n)
-        .drop("turn", "index", "strata")
+        .drop("rank", "index", "strata")
     )
 
 
@@ -86,8 +85,7 @@ def attach_summaries(
         _text(F.col("error_summary"), mode).alias("error_summary"),
         F.col(order).alias("_order"),
     )
-    asked = keyed.select(*keys)
-    wanted = found.join(broadcast_if_small(asked.distinct(), of=asked), keys, "left_semi")
+    wanted = found.join(keyed.select(*keys).distinct(), keys, "left_semi")
     last = dedup_keep_last(wanted, keys, "_order").drop("_order")
     return keyed.join(last, keys, "left").drop(*keys).withColumn(
         "error_summary", F.coalesce("error_summary", F.lit(""))

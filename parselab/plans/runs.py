@@ -34,12 +34,12 @@ def score_logs(
 
 
 def explain_errors(
-    diff: DataFrame, responses: DataFrame, path: str, mode: str = "observed"
+    diff: DataFrame, responses: DataFrame, path: str, mode: str = "observed", fmt: str = "parquet"
 ) -> DataFrame:
     """Append the error summaries of the wrong rows to the summary table; returns this run's."""
     files.require(diff, fixed.DIFF_COLUMNS)
     found = cut_lineage(summaries.summarise_errors(diff, responses, mode))
-    files.append_csv(found.select(*fixed.SUMMARY_COLUMNS), path)
+    files.append_table(found.select(*fixed.SUMMARY_COLUMNS), path, fmt)
     return found
 
 
@@ -54,11 +54,13 @@ def taxonomy_request(
     return prompts.taxonomy_prompt(corpus), figures
 
 
-def label_rows(diff: DataFrame, responses: DataFrame, types: DataFrame, path: str) -> DataFrame:
+def label_rows(
+    diff: DataFrame, responses: DataFrame, types: DataFrame, path: str, fmt: str = "parquet"
+) -> DataFrame:
     """Label the wrong rows and overwrite the label table; returns the labels."""
     files.require(diff, fixed.DIFF_COLUMNS)
     found = cut_lineage(labels.label_errors(diff, responses, types))
-    files.overwrite_csv(found.select(*fixed.LABEL_COLUMNS), path)
+    files.overwrite_table(found.select(*fixed.LABEL_COLUMNS), path, fmt)
     return found
 
 

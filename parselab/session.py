@@ -8,7 +8,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -23,19 +22,16 @@ SETTINGS = {
 PARTITION_BYTES = 128 * 1024 * 1024
 
 
-def sizing(input_bytes: int, cores: int) -> dict[str, str]:
-    """Shuffle and split settings for an input size.
+def sizing(input_bytes: int, cores: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Shuffle and split settings for an input size: about ``partition_bytes`` per map and reduce task, one wave at least.
 
-    About 128 MB per reduce task, between one and ten waves of tasks; adaptive execution joins small
-    partitions and splits skewed ones from there. Very large inputs are read in larger splits, as map
-    tasks times reduce tasks is what a shuffle has to keep track of.
+    A shuffle keeps track of map tasks times reduce tasks, so for hundreds of terabytes the submitter names larger partitions;
+    adaptive execution joins small partitions and splits skewed ones from there.
     """
-    tasks = min(max(cores, -(-input_bytes // PARTITION_BYTES)), 10 * cores)
-    split = PARTITION_BYTES * (4 if input_bytes > 10 * 1024**4 else 1)
     return {
-        "spark.sql.shuffle.partitions": str(tasks),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
-        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(max(cores, -(-input_bytes // partition_bytes))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
     }
 
 
@@ -68,16 +64,23 @@ def ship(spark: SparkSession, *packages: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test run) a temporary folder is made.
+    Where the setting is absent a local run, with one machine only, gets a temporary folder; on a cluster that is an error, as
+    each executor would write to its own disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parselab-"))
-        named = spark.sparkContext.getCheckpointDir()
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="parselab-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -89,22 +92,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
-
-
-def broadcast_if_small(df: DataFrame, rows: int = 100_000, of: DataFrame | None = None) -> DataFrame:
-    """Broadcast hint for a table of at most ``rows`` rows, else the table as it is.
-
-    The count stops at the bound; it is taken on ``of`` where that is a cheaper table with at least as many
-    rows. Beyond the bound Spark joins by shuffle and splits skewed keys itself.
-    """
-    counted = df if of is None else of
-    return F.broadcast(df) if counted.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a table that came in fewer splits than there are cores.
-
-    Parsing text and JSON costs far more than this shuffle. A table with enough splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -97,6 +97,15 @@ def overwrite_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_CSV).csv(path)
 
 
+def append_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add rows to a stage table: Parquet, or CSV for people (one CSV file is read back by one task)."""
+    append_csv(df, path) if fmt == "csv" else df.write.mode("append").format(fmt).save(path)
+
+
+def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    overwrite_csv(df, path) if fmt == "csv" else df.write.mode("overwrite").format(fmt).save(path)
+
+
 def write_tuning(tuning: DataFrame, path: str) -> None:
     """Tuning records as JSON lines, non-ASCII text unescaped."""
     tuning.select(*fixed.TUNING_COLUMNS).write.mode("overwrite").json(path)

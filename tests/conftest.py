@@ -4,7 +4,7 @@ from parselab.session import build
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build(
         "tests",
         **{
@@ -13,6 +13,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

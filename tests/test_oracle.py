@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import SMOKE_DIR, entry, oracle_sql, queries
+from workload import catalog, oracle
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -18,10 +19,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.statements())
+    assert set(catalog.QUERIES) <= set(queries()) and set(oracle.statements()) <= set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(name, spark, duck):
     df = queries()[name](spark, SMOKE_DIR)
     columns = sorted(df.columns)

@@ -57,8 +57,16 @@ def test_frequent_types(spark, rows):
     assert set(rows(ranking.frequent_types(df, "t", 2))) == {("a",), ("b",)}
 
 
-def test_large_sample_is_cut_by_bucket(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "MERGED_ROWS", 10)
+def test_samples_are_not_merged_in_one_task(spark):
     found = ranking.first_n(spark.range(500), "id", 60)
     assert "TakeOrdered" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["id"] for r in found.collect()} == set(ordered(range(500))[:60])
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 600])
+def test_max_samples(spark, n):
+    df = spark.range(500).selectExpr("id % 3 AS a", "id AS b")
+    found = ranking.max_samples(df, ["a", "b"], n)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i % 3, i) for i in range(500))[:n]

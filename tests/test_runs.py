@@ -27,7 +27,7 @@ def test_stages(spark, diff, tmp_path, rows):
     found = runs.explain_errors(diff, replies, path)
     runs.explain_errors(diff.limit(5), replies, path)
     assert found.count() == 30
-    assert files.read_csv(spark, path, fixed.SUMMARY_COLUMNS).count() == 35
+    assert spark.read.parquet(path).count() == 35
     intended = runs.explain_errors(diff, replies, path + "2", "intended")
     assert rows(intended, "error_summary")[0] == ("kept the number of log 0",)
 
@@ -59,6 +59,8 @@ def test_a_filter_does_not_extract_twice(spark):
 
 
 def test_sizing():
-    assert sizing(100 * 1024**4, 4000)["spark.sql.shuffle.partitions"] == "40000"
-    assert sizing(10 * 1024**3, 16)["spark.sql.shuffle.partitions"] == "80"
+    for size, part in ((100 * 1024**4, 1024**3), (10 * 1024**3, 128 * 1024**2)):
+        made = sizing(size, 16, part)
+        assert int(made["spark.sql.shuffle.partitions"]) * part == size
+        assert made["spark.sql.files.maxPartitionBytes"] == str(part)
     assert sizing(1, 8)["spark.sql.shuffle.partitions"] == "8"

@@ -5,7 +5,7 @@ import pytest
 
 from parselab.functions import fixed
 from parselab.operators import summaries
-from parselab.session import broadcast_if_small, new_path, shared_dir, spread
+from parselab.session import is_local, new_path, shared_dir
 from parselab.sources import files
 
 CELLS = [
@@ -103,10 +103,22 @@ def test_shared_folder(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
 
 
-def test_size_checks(spark):
-    def hinted(df):
-        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(key, default=None):
+                return default
 
-    assert hinted(broadcast_if_small(spark.range(10), 10)) and not hinted(broadcast_if_small(spark.range(11), 10))
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    for master in ("local-cluster[2,1,1024]", "yarn", "k8s://x"):
+        assert not is_local(master)
+    assert is_local("local") and is_local("local[8]")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,7 +112,25 @@ def taxonomy_doc_out(spark, d):
     path = new_path(spark, "documents")
     named = taxonomy.reletter(data.taxonomy(spark, d))
     files.write_blocks(taxonomy.taxonomy_blocks(named, threshold=0.85), path)
-    return spark.read.text(path).filter("value <> ''").withColumnRenamed("value", "line")
+    return _document_lines(spark, path)
+
+
+def _document_lines(spark, path):
+    """All lines of a written document with their place; its files are in order by name, and end with a line end."""
+    text = F.expr("substr(value, 1, length(value) - 1)")
+    lines = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"), F.posexplode(F.split(text, "\n", -1)).alias("at", "line")
+    )
+    place = F.row_number().over(W.orderBy("file", "at"))  # over one document
+    return lines.select(place.cast("bigint").alias("place"), "line")
+
+
+@query
+def analysis_document(spark, d):
+    """The first document of a run, over a stored reply."""
+    overview = summaries.summary_overview(data.summaries(spark, d))
+    reply = _document(spark, d).withColumnRenamed("document", "response")
+    return taxonomy.analysis_document(reply, overview, "summaries", "model")
 
 
 @query
@@ -358,7 +377,7 @@ def label_lookup(spark, d):
     return found.select("row_id", "Error_Number", "title")
 
 
-def _seeds(spark, d, n=1000):
+def _seeds(spark, d, n=3000):
     return seeds.round_robin(data.labels(spark, d), n, "row_id")
 
 
@@ -418,12 +437,18 @@ def response_join(spark, d):
 
 @query
 def decontaminate(spark, d):
-    """Logs of which none, up to case and spacing, is among the seeds of a tuning run."""
+    """Logs of which none, up to case and spacing, is among the wrong rows that a tuning run was made of."""
     rows = data.logs(spark, d)
-    tuning = _seeds(spark, d, 200).select(F.upper(F.concat(F.lit(" "), "Original_Log")).alias("Content"))
+    tuning = data.diff(spark, d).select(F.upper(F.concat(F.lit(" "), "Content")).alias("Content"))
     return scoring.decontaminate(rows, tuning).select("row_id", "Content")
 
 
+@query
+def passage_leaks(spark, d):
+    """Documents that hold a benchmark passage word for word."""
+    return scoring.passage_leaks(data.table(spark, d, "documents"), data.table(spark, d, "benchmark"))
+
+
 @query
 def plan_closure(spark, d):
     return merge.resolve_plan(merge.merge_plan(_counted(spark, d)), "intended")
@@ -636,6 +661,22 @@ def embed_attach(spark, d):
     )
 
 
+def _measuring_client():
+    """Stands in for an embedding model: a text becomes its length and its number of spaces."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    return embed
+
+
+@query
+def embed_provider(spark, d):
+    texts = taxonomy.embed_text(_blocks(spark, d)).select("doc_id", "letter", "embed_text")
+    found = merge.call_embedder(texts, _measuring_client)
+    return found.select("doc_id", "letter", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("spaces"))
+
+
 @query
 def cosine_pairs(spark, d):
     return _rounded(_pairs(spark, d))

@@ -1,7 +1,7 @@
 """Log-parsing tables derived from the driver's parquet; one row per event unless noted.
 
 Stored model replies are a function of the log text, as a reply is of its prompt. One system holds over
-a third of the rows.
+a third of the rows; one row in eight repeats a text, so that prompts are equal.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parselab.functions.templates import number_letter
 from parselab.functions.text import lines
 from parselab.operators import augment, prompts, scoring
-from parselab.session import cut_lineage, spread
+from parselab.session import cut_lineage
 
 TYPES = 26
 
@@ -22,7 +22,8 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spread(table(spark, d, name))
+    """The driver's tables are one file each; their rows are dealt out over the cores first."""
+    return table(spark, d, name).repartition(spark.sparkContext.defaultParallelism)
 
 
 def logs(spark: SparkSession, d: str) -> DataFrame:
@@ -31,8 +32,9 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
         "user_id",
         "event_type",
         "CASE WHEN user_id % 3 = 0 THEN 'sys0' ELSE concat('sys', user_id % 5) END AS system",
-        "concat('user ', user_id, ' ', event_type, ' value=', cast(round(value * 100) AS bigint),"
-        " ' k=', get_json_object(props, '$.k')) AS Content",
+        "CASE WHEN event_id % 8 = 3 THEN concat('user 7 ', event_type, ' value=100 k=1') ELSE"
+        " concat('user ', user_id, ' ', event_type, ' value=', cast(round(value * 100) AS bigint),"
+        " ' k=', get_json_object(props, '$.k')) END AS Content",
         "concat('user <*> ', event_type, ' value=<*> k=<*>') AS EventTemplate",
     )
 
@@ -138,8 +140,8 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     blocks = F.transform(
         lines(F.col("text")),
         lambda line, at: F.concat(
-            F.lit("#### "), F.char(65 + at.cast("bigint") % 26), F.lit(". "), F.substring(line, 1, 40),
-            F.lit("\n- "), line, F.lit("\nmore\n- Example errors: inline\n  - \""), F.substring(line, 5, 20),
+            F.lit("#### "), F.char(65 + at.cast("bigint") % 26), F.lit(". "), line,
+            F.lit("\n- "), line, F.lit("\nmore\n- Example errors: inline\n  - \""), line,
             F.lit("\"\n"),
         ),
     )
@@ -210,7 +212,6 @@ def label_responses(asked: DataFrame) -> DataFrame:
     return (
         replies.select("request_id", F.expr(LABEL_REPLY).alias("response"))
         .filter("response IS NULL OR response <> 'no row'")
-        .dropDuplicates(["request_id"])
     )
 
 
@@ -220,7 +221,6 @@ def summary_responses(rows: DataFrame) -> DataFrame:
     return (
         asked.filter("length(Content) % 9 <> 0")
         .select("request_id", F.expr(SUMMARY_REPLY).alias("response"))
-        .dropDuplicates(["request_id"])
     )
 
 
@@ -249,7 +249,7 @@ def variant_replies(asked: DataFrame, round_no: int = 0) -> DataFrame:
 
 
 def variant_responder(asked: DataFrame, round_no: int) -> DataFrame:
-    return variant_replies(asked, round_no).select("request_id", "response").dropDuplicates(["request_id"])
+    return variant_replies(asked, round_no).select("request_id", "response")
 
 
 def first_variants(spark: SparkSession, d: str, **options) -> DataFrame:

@@ -151,8 +151,8 @@ def variant_lists() -> str:
 STEPS: dict[str, str] = {
     "logs": """SELECT event_id AS row_id, user_id, event_type,
       CASE WHEN user_id % 3 = 0 THEN 'sys0' ELSE 'sys' || (user_id % 5) END AS system,
-      'user ' || user_id || ' ' || event_type || ' value=' || cast(round(value * 100) AS bigint) || ' k='
-        || json_extract_string(props, '$.k') AS "Content",
+      CASE WHEN event_id % 8 = 3 THEN 'user 7 ' || event_type || ' value=100 k=1' ELSE 'user ' || user_id || ' '
+        || event_type || ' value=' || cast(round(value * 100) AS bigint) || ' k=' || json_extract_string(props, '$.k') END AS "Content",
       'user <*> ' || event_type || ' value=<*> k=<*>' AS "EventTemplate" FROM events""",
     "answers": f'SELECT *, {escaped(derived.OUTPUT_RULE)} AS response FROM logs',
     "normal": f"""SELECT * EXCLUDE (clean), {with_marker('clean')} AS reasoning
@@ -180,8 +180,8 @@ STEPS: dict[str, str] = {
     "document": f"""SELECT {lit(fixed.MERGED_HEADER.format(threshold=fixed.SIMILARITY_THRESHOLD))} || {LF}
       || string_agg({BLOCK_TEXT}, {LF} ORDER BY number) || {LF} AS document FROM types""",
     "markdown": f"""SELECT doc_id, '# Types' || {LF} || {LF} || array_to_string(list_transform(string_split(text, {LF}),
-      lambda l, i: '#### ' || chr(cast(65 + (i - 1) % 26 AS int)) || '. ' || substr(l, 1, 40) || {LF} || '- ' || l
-        || {LF} || 'more' || {LF} || '- Example errors: inline' || {LF} || '  - "' || substr(l, 5, 20) || '"' || {LF}), {LF}) AS text
+      lambda l, i: '#### ' || chr(cast(65 + (i - 1) % 26 AS int)) || '. ' || l || {LF} || '- ' || l
+        || {LF} || 'more' || {LF} || '- Example errors: inline' || {LF} || '  - "' || l || '"' || {LF}), {LF}) AS text
       FROM documents""",
     "chunks": """SELECT doc_id, unnest(list_transform(list_filter(string_split(text, '####'),
         lambda c: regexp_full_match(c, '(?s) [A-Z]\\. [^\\n]+\\n- [^#]+')), lambda c, i: {'pos': i - 1, 'c': c})) AS s FROM markdown""",
@@ -245,7 +245,7 @@ STEPS: dict[str, str] = {
     "remapped": """SELECT w.row_id, w."Error_Number", w."Error_Type" AS old, coalesce(a.to_type, w."Error_Type") AS "Error_Type"
       FROM wide w LEFT JOIN applied a ON a.from_type = w."Error_Type" """,
     "observed_slots": """SELECT system, "EventTemplate" AS template, slot,
-      CASE slot WHEN 1 THEN cast(user_id AS varchar) WHEN 2 THEN string_split(string_split("Content", 'value=')[2], ' ')[1]
+      CASE slot WHEN 1 THEN string_split("Content", ' ')[2] WHEN 2 THEN string_split(string_split("Content", 'value=')[2], ' ')[1]
         ELSE string_split("Content", ' k=')[2] END AS value
       FROM (SELECT *, cast(unnest([1, 2, 3]) AS int) AS slot FROM logs)""",
     "slot_pool": """SELECT *, row_number() OVER (PARTITION BY system, template, slot ORDER BY md5('42|' || value), value) AS pick,
@@ -306,14 +306,11 @@ def _topup_prompt() -> str:
     return _by_strategy(fill(fixed.TOPUP_SUBSTITUTE, **fields), fill(fixed.TOPUP_REWRITE, **fields), semantic)
 
 
-def _header_lines(threshold: float) -> str:
-    lines = [line for line in fixed.MERGED_HEADER.format(threshold=threshold).split("\n") if line]
-    return ", ".join(lit(line) for line in lines)
-
-
 PERCENT = "CASE WHEN {1} > 0 THEN round({0} / {1} * 100, 6) ELSE 0.0 END"
 TUNING = f"""{lit(fixed.INSTRUCTION)} AS instruction, "Original_Log" AS input, "Correct_Template" AS output"""
 SAMPLE_SIZE = "CASE WHEN n > 500 THEN 500 ELSE least(n, 200) END"
+OVERVIEW = f"""SELECT total, n AS valid, cast({SAMPLE_SIZE} AS bigint) AS sampled FROM (
+  SELECT (SELECT count(*) FROM summaries) AS total, (SELECT count(*) FROM valid) AS n)"""
 
 SELECTS: dict[str, str] = {
     # sources and sinks
@@ -335,8 +332,12 @@ SELECTS: dict[str, str] = {
     "sink_partitioned": """SELECT "Content", "Prediction", reasoning, "EventTemplate", outcome FROM scored""",
     "sink_append": "SELECT original_log, correct_template, error_summary FROM summaries",
     "sink_overwrite": """SELECT "Original_Log", "Correct_Template", "Error_Type", "Error_Number" FROM labelled""",
-    "taxonomy_doc_out": f"""SELECT unnest([{_header_lines(0.85)}]) AS line UNION ALL
-      SELECT line FROM (SELECT unnest(string_split({BLOCK_TEXT}, {LF})) AS line FROM types) WHERE line <> ''""",
+    "taxonomy_doc_out": f"""SELECT u.place AS place, u.line AS line FROM (
+      SELECT unnest(list_transform(string_split({lit(fixed.MERGED_HEADER.format(threshold=0.85))} || {LF} || body, {LF}),
+        lambda l, i: {{'place': i, 'line': l}})) AS u FROM (
+        SELECT string_agg({BLOCK_TEXT}, {LF} ORDER BY number) AS body FROM types))""",
+    "analysis_document": f"""SELECT {fill(fixed.ANALYSIS_HEADER, sampled='sampled', total='total', valid='valid',
+      source="'summaries'", model="'model'")} || (SELECT document FROM document) AS document FROM ({OVERVIEW})""",
     "sink_tuning_json": f"SELECT {TUNING} FROM labelled",
     "run_summary": f"""SELECT 'success' AS status, count(*) AS processed, count(*) FILTER (outcome = 'same') AS correct,
       {PERCENT.format("count(*) FILTER (outcome = 'same')", "count(*)")} AS accuracy, 'logs' AS input_file, 'out' AS output_dir
@@ -399,8 +400,9 @@ SELECTS: dict[str, str] = {
     "remap_labels": 'SELECT row_id, "Error_Number", "Error_Type" FROM remapped',
     "surviving_types": "SELECT doc_id, letter, title FROM surviving",
     "response_join": """SELECT row_id, request_id, length("Content") % 9 <> 0 AS answered, coalesce(response, '') AS response FROM replied""",
+    "passage_leaks": """SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
     "decontaminate": """SELECT row_id, "Content" FROM logs WHERE lower("Content") NOT IN (
-      SELECT lower("Original_Log") FROM slots WHERE slot < 200)""",
+      SELECT lower("Content") FROM wrong)""",
     "plan_closure": "SELECT from_type, to_type FROM closed",
     "doc_broadcast_join": f"""SELECT row_id, "Content" || {LF} || (SELECT document FROM document) AS text FROM wrong""",
     # aggregations
@@ -413,11 +415,10 @@ SELECTS: dict[str, str] = {
       coalesce(b.m, 0) AS moved
       FROM (SELECT old AS t, count(*) AS n, count(*) FILTER (old <> "Error_Type") AS m FROM remapped GROUP BY 1) b
       FULL JOIN (SELECT "Error_Type" AS t, count(*) AS n FROM remapped GROUP BY 1) a ON a.t = b.t""",
-    "summary_overview": f"""SELECT total, n AS valid, cast({SAMPLE_SIZE} AS bigint) AS sampled FROM (
-      SELECT (SELECT count(*) FROM summaries) AS total, (SELECT count(*) FROM valid) AS n)""",
+    "summary_overview": OVERVIEW,
     "seed_stats": """SELECT "Error_Number", count(*) AS seeds, count(*) FILTER (coalesce(error_summary, '') <> '') AS with_summary,
       count(*) FILTER (coalesce(error_summary, '') = '') AS without_summary FROM joined GROUP BY ROLLUP ("Error_Number")""",
-    "selection_distribution": 'SELECT "Error_Number", count(*) AS seeds FROM slots WHERE slot < 1000 GROUP BY 1',
+    "selection_distribution": 'SELECT "Error_Number", count(*) AS seeds FROM slots WHERE slot < 3000 GROUP BY 1',
     "summary_corpus": f"""SELECT string_agg('- ' || error_summary || {LF} || {LF}, '' ORDER BY position) AS corpus FROM valid
       WHERE position <= (SELECT {SAMPLE_SIZE} FROM (SELECT count(*) AS n FROM valid))""",
     "augment_totals": """SELECT (SELECT count(*) FROM seeds) AS originals, (SELECT count(*) FROM variants) AS variants,
@@ -433,7 +434,7 @@ SELECTS: dict[str, str] = {
       FROM scored GROUP BY 1, 2 HAVING count(DISTINCT "Prediction") > 1""",
     # windows
     "stratified_shuffle": 'SELECT row_id, "Error_Number", turn AS rank FROM turns',
-    "round_robin_seeds": 'SELECT row_id, "Error_Number", slot FROM slots WHERE slot < 1000',
+    "round_robin_seeds": 'SELECT row_id, "Error_Number", slot FROM slots WHERE slot < 3000',
     "dedup_keep_last": """SELECT seq, original_log, correct_template, error_summary FROM (SELECT *, row_number() OVER (
       PARTITION BY original_log, correct_template ORDER BY seq DESC) AS back FROM summaries) WHERE back = 1""",
     "reletter": """SELECT doc_id, number, CASE WHEN number <= 26 THEN chr(cast(64 + number AS int)) END AS letter, title FROM (
@@ -465,6 +466,10 @@ SELECTS: dict[str, str] = {
     # embeddings and similarity
     "embed_text": """SELECT doc_id, letter, title || ' ' || description || CASE WHEN len(examples) > 0
       THEN ' ' || array_to_string(examples[1:2], ' ') ELSE '' END AS embed_text FROM blocks""",
+    "embed_provider": """SELECT doc_id, letter, cast(length(t) AS double) AS chars,
+      cast(length(t) - length(replace(t, ' ', '')) AS double) AS spaces FROM (
+      SELECT doc_id, letter, title || ' ' || description || CASE WHEN len(examples) > 0
+        THEN ' ' || array_to_string(examples[1:2], ' ') ELSE '' END AS t FROM blocks)""",
     "embed_attach": """SELECT vec_id AS pos, 'Type ' || (vec_id + 1) AS title, cast(len(embedding) AS int) AS dims,
       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""",
     "cosine_pairs": "SELECT i, j, round(sim, 6) AS sim FROM pairs",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parselab.session import new_path
 
@@ -59,3 +61,38 @@ def portions(values: list[str], chars: int = 8_000_000) -> Iterator[list[str]]:
             some, size = [], 0
     if some:
         yield some
+
+
+class BitTable:
+    """A broadcast table of ``bits`` bits, one set for each of some 64-bit hashes.
+
+    Its size does not grow with the data; a fuller table lets more rows through and never keeps one back, so it may only stand
+    before an exact join.
+    """
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int = 1 << 26):
+        words = (
+            hashes.select((F.col(column).bitwiseAND(F.lit(bits - 1))).alias("slot"))
+            .groupBy(F.expr("shiftrightunsigned(slot, 5)").alias("word"))
+            .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 AS int)))").alias("bits"))
+            .toArrow()
+        )
+        table = np.zeros(bits // 32, np.uint32)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy()
+        self.mask = bits - 1
+        self.sent = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether the bit of each hash is set."""
+        slot = (hashes.astype(np.uint64) & np.uint64(self.mask)).astype(np.int64)
+        return (self.sent.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) != 0
+
+    def rows(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows whose hash in ``column`` (not null) may be among the hashes."""
+
+        def run(parts):
+            for part in parts:
+                keep = self.holds(part.column(column).to_numpy(zero_copy_only=False))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parselab.llm.common import mapped, texts, written
+from parselab.llm.common import BitTable, mapped, texts, written
 
 # A word, or one character of a script without spaces.
 TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+")
@@ -76,31 +76,17 @@ def item_seeds(items: DataFrame, rule: Rule) -> DataFrame:
     return mapped(items, per_batch, "item_id bigint, n_words bigint, seed bigint, times bigint")
 
 
-def seed_filter(spark: SparkSession, seeds: DataFrame, rule: Rule):
-    """A broadcast bit table of the seeds; its size is ``filter_bits`` whatever the benchmark's."""
-    words = (
-        seeds.withColumn("slot", F.col("seed").bitwiseAND(F.lit(rule.filter_bits - 1)))
-        .groupBy(F.expr("shiftrightunsigned(slot, 5)").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 31 AS int)))").alias("bits"))
-    )
-    table = np.zeros(rule.filter_bits // 32, np.uint32)
-    for row in words.toLocalIterator():
-        table[row["word"]] = row["bits"]
-    return spark.sparkContext.broadcast(table)
-
-
-def document_runs(docs: DataFrame, bits, rule: Rule) -> DataFrame:
+def document_runs(docs: DataFrame, bits: BitTable, rule: Rule) -> DataFrame:
     """doc_id, text_hash, run, words, seeds: maximal runs of a document's tokens that seeds cover (or may cover)."""
 
     def per_batch(part: pa.RecordBatch) -> dict[str, list]:
-        table, hashes, low = bits.value, _TokenHashes(), np.uint64(rule.filter_bits - 1)
+        hashes = _TokenHashes()
         out: dict[str, list] = {"doc_id": [], "text_hash": [], "run": [], "words": [], "seeds": []}
         keys = zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts(part), strict=True)
         for doc_id, text_hash, text in keys:
             words = tokens(text)
             seeds = seed_hashes(words, rule.least, hashes)
-            slot = (seeds & low).astype(np.int64)
-            hit = np.flatnonzero((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1))
+            hit = np.flatnonzero(bits.holds(seeds))
             if not len(hit):
                 continue
             for run, own in enumerate(np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)):
@@ -195,7 +181,7 @@ def leaks(
     read = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
     )
-    runs = written(document_runs(read, seed_filter(docs.sparkSession, seeds, rule), rule), "runs")
+    runs = written(document_runs(read, BitTable(seeds, "seed", rule.filter_bits), rule), "runs")
     document = ["doc_id", "no_id", "text_hash"]
     runs = runs.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"]).dropDuplicates([*document, "run"])
     hits = runs.select(*document, "run", F.explode("seeds").alias("seed")).join(seeds, "seed")

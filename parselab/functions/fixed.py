@@ -63,6 +63,14 @@ LOG_MIN = 5
 # Taxonomy document.
 HEADING = "####"
 EXAMPLE_HEADS = ["- Example errors:", "- Examples:"]
+# A block: heading with letter and title, then its text up to the next heading or the end. The strict text
+# holds no "#" at all and is taken in one go; the loose one may hold single ones.
+BLOCK_HEAD = r"(?s)#### ([A-Z])\. ([^\n]+)\n- "
+BLOCK = {
+    "observed": BLOCK_HEAD + r"([^#]++)(?=####|\z)",
+    "intended": BLOCK_HEAD + r"([^#]++(?:#(?!###)[^#]*+)*+)",
+}
+REST_OF_LINE = r"(.*?)(?:\n|\r|$)"
 MERGED_HEADER = """# Log Parsing Error Type Analysis (Merged)
 
 Analysis results after similarity-based merging

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from parselab.functions import fixed
 
 # Java flags: d = only \n ends a line, U = Unicode classes, i = any case.
-_REST_OF_LINE = r"(.*?)(?:\n|\r|$)"
-_MARKED = rf"(?idU){fixed.MARKER}{fixed.SPACE}*{_REST_OF_LINE}"
-_PHRASED = [rf"(?idU){p}:?{fixed.SPACE}*{_REST_OF_LINE}" for p in fixed.TEMPLATE_PHRASES]
+_MARKED = rf"(?idU){fixed.MARKER}{fixed.SPACE}*{fixed.REST_OF_LINE}"
+_PHRASED = [rf"(?idU){p}:?{fixed.SPACE}*{fixed.REST_OF_LINE}" for p in fixed.TEMPLATE_PHRASES]
 _OPENER = rf"(?iU)^(?:{'|'.join(fixed.LINE_OPENERS)}):?{fixed.SPACE}*"
 _PARAGRAPH = rf"(?U)\n{fixed.SPACE}*\n"
 

@@ -16,11 +16,6 @@ from parselab.functions import fixed
 from parselab.functions.templates import letter_number, number_letter
 from parselab.functions.text import lines, strip
 
-# A block: heading with letter and title, then its text up to the next heading or the end. The strict text
-# holds no "#" at all and is taken in one go; the loose one may hold single ones.
-_HEAD = r"(?s)#### ([A-Z])\. ([^\n]+)\n- "
-_BLOCK = {"observed": _HEAD + r"([^#]++)(?=####|\z)", "intended": _HEAD + r"([^#]++(?:#(?!###)[^#]*+)*+)"}
-
 
 def read_taxonomy(docs: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """``number, title, pos`` from the heading lines; the last title of a number wins, its first place stays."""
@@ -68,7 +63,7 @@ def read_taxonomy_blocks(
     ``observed`` drops a block that holds a ``#`` and the examples on the heading line; ``intended``
     keeps both.
     """
-    pattern = _BLOCK[mode]
+    pattern = fixed.BLOCK[mode]
     matched = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     # The outer form: an inner explode adds a filter on its array, which would search every text again.
     found = docs.select(*by, matched.alias("matched")).select(

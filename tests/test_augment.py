@@ -42,6 +42,28 @@ def test_rounds_until_full_or_silent(spark, chosen, document):
     assert texts == [f"log 7 v{n}" for n in range(5)]
 
 
+def test_equal_prompts_share_one_reply(spark, document, rows):
+    """Equal seeds get the same variants, one row each; the responder sees each prompt once."""
+    twins = spark.createDataFrame([(n, "user 5 login", "user <*> login", "why", "T", 1) for n in (1, 2)], SEED_SCHEMA)
+    asked_rows = []
+
+    def reply(asked, round_no):
+        asked_rows.append(asked.count())
+        two = F.lit('["user 6 login", "user 7 login"]')
+        return asked.select("request_id", two.alias("response")).unionByName(
+            asked.select("request_id", F.lit("~ later text").alias("response"))
+        )
+
+    made = augment.generate_variants(twins.withColumn("strategy", F.lit(1)), reply, document, 2)
+    expected = [(s, p, f"user {5 + p} login") for s in (1, 2) for p in (1, 2)]
+    assert rows(made, "seed_id", "place", "input") == expected and asked_rows[0] == 1
+    keyed = prompts.with_request_id(twins.select("seed_id", F.lit("p").alias("prompt")))
+    replies = spark.createDataFrame([(None,), ("b",), ("a",)], "response string").select(
+        F.md5(F.lit("p")).alias("request_id"), "response"
+    )
+    assert rows(prompts.attach_responses(keyed, replies), "seed_id", "response", "answered") == [(1, "a", True), (2, "a", True)]
+
+
 def test_tuning_set(spark, chosen, document, rows):
     broken = chosen.unionByName(spark.createDataFrame([(99, "x", None, "", "T", 1)], SEED_SCHEMA))
     observed = runs.tuning_set(broken, responder, document, 2)

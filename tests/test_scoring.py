@@ -92,3 +92,20 @@ def test_whole_run(spark, tmp_path, rows):
     assert sampled.first()["processed"] <= 8
     with pytest.raises(ValueError, match="EventTemplate"):
         runs.score_logs(logs.drop("EventTemplate"), replies, str(tmp_path))
+
+
+def test_batches_of_large_row_numbers(spark, rows):
+    base = 2**53
+    scored = spark.range(base, base + 12).selectExpr("id AS row_id", "'s' AS system", "'same' AS outcome")
+    found = scoring.running_accuracy(scored, batch_size=1)
+    assert rows(found, "batch_id", "processed") == [(base + k, k + 1) for k in range(12)]
+
+
+def test_passages(spark, rows):
+    passage = "one two three four five six seven"
+    documents = [(1, f"x{passage}y z"), (2, passage.upper()), (3, f"a {passage}"), (3, f"a {passage}"), (4, None), (5, "")]
+    held = scoring.passage_leaks(
+        spark.createDataFrame(documents, "doc_id long, text string"),
+        spark.createDataFrame([(7, passage), (8, "too short"), (9, None), (7, passage)], "item_id long, text string"),
+    )
+    assert rows(held) == [(1, 7), (3, 7)]

@@ -86,3 +86,11 @@ def test_whole_selection(spark, labels):
     assert {r["error_summary"] for r in found.collect()} == {"why"}
     with pytest.raises(ValueError, match="Error_Number"):
         runs.select_seeds(labels.drop("Error_Number"), texts, 9)
+
+
+@pytest.mark.parametrize("n", [1000, 1001, 50_000])
+def test_no_window_over_a_whole_stratum(labels, n):
+    plan = seeds.round_robin(labels, n, "row_id")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert any("bucket" in line for line in windows)
+    assert not any("hash" in line and "bucket" not in line for line in windows)

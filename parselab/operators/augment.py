@@ -12,7 +12,7 @@ from parselab.functions import fixed, replies, templates
 from parselab.functions.text import strip
 from parselab.operators import prompts as asking
 from parselab.operators.ranking import ranked
-from parselab.session import cut_lineage
+from parselab.session import cut_lineage, written
 
 
 def hash_number(text: Column) -> Column:
@@ -113,19 +113,22 @@ def generate_variants(
     """
 
     def ask(prompts: DataFrame, round_no: int) -> DataFrame:
-        # The request table is written out: the responder reads it, and the replies join it.
-        keyed = cut_lineage(asking.with_request_id(prompts))
+        # The request table is written out: the responder reads its prompts, the replies join its keys.
+        keyed = written(asking.with_request_id(prompts), "requests")
         replied = asking.attach_responses(keyed, responder(keyed.dropDuplicates(["request_id"]), round_no))
         return cut_lineage(parse_variants(replied))
 
     made = ask(asking.augment_prompts(seeds, document, n), 0).withColumn("round", F.lit(0))
-    open_seeds = seeds
+    open_seeds, open_made = seeds, made
     for round_no in range(1, n + 1):
-        added = ask(asking.topup_prompts(open_seeds, made, document, n), round_no)
+        added = ask(asking.topup_prompts(open_seeds, open_made, document, n), round_no)
         if added.isEmpty():
             break
         made = topup_union(made, added, round_no)
-        open_seeds = seeds.join(added.select("seed_id").distinct(), "seed_id", "left_semi")
+        # A seed that got nothing is given up; only the others' variants are looked at again.
+        answered = added.select("seed_id").distinct()
+        open_seeds = open_seeds.join(answered, "seed_id", "left_semi")
+        open_made = topup_union(open_made, added, round_no).join(answered, "seed_id", "left_semi")
     return top_n_variants(made, n)
 
 

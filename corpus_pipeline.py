@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parselab.llm import decontaminate, minhash, packing, quality, secret_scan
-from parselab.llm.common import table, written
+from parselab.llm.common import table
 from parselab.llm.registry import tokenizer
+from parselab.session import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.session import new_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,13 +17,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back; survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def batches(per_batch: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str):
     """A function for ``mapInArrow``: columns by name in, columns in the order of ``schema`` out."""
     from pyspark.sql.pandas.types import to_arrow_schema

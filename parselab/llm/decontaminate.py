@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parselab.llm.common import BitTable, mapped, texts, written
+from parselab.llm.common import BitTable, mapped, texts
+from parselab.session import written
 
 # A word, or one character of a script without spaces.
 TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+")

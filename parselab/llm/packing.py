@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parselab.llm.common import mapped, portions, texts, written
+from parselab.llm.common import mapped, portions, texts
 from parselab.llm.fit import best_fit_decreasing, cut
 from parselab.llm.token_ids import WordIds, once
+from parselab.session import written
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 GROUP = 50_000

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parselab.llm.common import written
+from parselab.session import written
 
 BUCKETS = 1024
 

@@ -118,3 +118,24 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learned) AS loss_
   sha256(learned) AS loss_sha256, formatted_chars FROM whole
 """
 
+
+SQL["op5_near_duplicates"] = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, list_distinct(CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM cut),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT a AS doc_id, a AS other FROM ends
+  UNION SELECT r.doc_id, e.b FROM reached r JOIN ends e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, cast(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+  coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM shingled s LEFT JOIN least USING (doc_id)
+"""

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -161,3 +162,15 @@ def test_pipeline(spark, documents, benchmark):
     kept = [(i, masked(t)) for i, t in kept if not leaked_items(t, benchmark)]
     assert corpus_pipeline.ORACLE_SQL is None
     check_packing(corpus_pipeline.run(spark, FOLDER).collect(), ids_of(kept), 4096)
+
+
+@pytest.mark.parametrize("name", list(SQL))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    cursor = con.execute(SQL[name])
+    names = [c[0] for c in cursor.description]
+    found = QUERIES[name](spark, FOLDER)
+    assert sorted(found.columns) == sorted(names)
+    assert sorted(map(tuple, found.select(names).collect())) == sorted(cursor.fetchall())

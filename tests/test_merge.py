@@ -146,3 +146,19 @@ def test_embedder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abc")], "pos int, embed_text string")
     found = merge.call_embedder(df, client).orderBy("pos").collect()
     assert [r["vector"] for r in found] == [[2.0, 1.0], [3.0, 1.0]]
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.90, 0.95])
+@pytest.mark.parametrize("pivots", [1, 8])
+def test_planted_near_copies(spark, threshold, pivots):
+    """Near copies at the published thresholds; no pair is lost, however the vectors lie in blocks."""
+    g = np.random.default_rng(9)
+    base = g.standard_normal((40, 64))
+    rows = np.concatenate([base] + [base + s * g.standard_normal((40, 64)) for s in (0.05, 0.2, 0.35, 0.6)])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    expected = {(i, j) for i, j in zip(*np.nonzero(cosine > threshold), strict=True) if i < j}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "pos long, vector array<double>")
+    found = merge.similar_pairs(df, threshold, block_rows=16, pivots=pivots).collect()
+    assert {(r["i"], r["j"]) for r in found} == expected and len(found) == len(expected) > 0
+    assert all(abs(r["sim"] - cosine[r["i"], r["j"]]) < 1e-9 for r in found)

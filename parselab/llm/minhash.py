@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parselab.llm.common import mapped, texts, written
+from parselab.llm.common import BitTable, mapped, texts
+from parselab.session import written
 
 MEMO = 500_000
 ROW_KEY = ["id_or_0", "no_id", "hash"]
@@ -110,17 +111,23 @@ def _row_key(doc_id: Column, text_hash: Column) -> list[Column]:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, rule: Rule, nodes: DataFrame) -> DataFrame:
-    """cls, values for the classes in ``nodes`` (cls, doc_id, text_hash), each from the row it names."""
+    """no, values for the classes in ``nodes`` (no, cls, doc_id, text_hash), each from the row it names.
+
+    A bit table of the text hashes keeps most other texts from the shuffle.
+    """
     read = df.select(F.col(text).alias("text"), *_row_key(F.col(key).cast("bigint"), F.xxhash64(text)))
-    wanted = read.join(nodes.select(F.col("cls").alias("wanted"), *_row_key(F.col("doc_id"), F.col("text_hash"))), ROW_KEY)
+    read = BitTable(nodes, "text_hash").rows(read, "hash")
+    named = nodes.select("no", F.col("cls").alias("wanted"), *_row_key(F.col("doc_id"), F.col("text_hash")))
+    once = read.join(named, ROW_KEY).groupBy(*ROW_KEY).agg(*(F.first(c).alias(c) for c in ("no", "wanted", "text")))
 
     def per_batch(part: pa.RecordBatch) -> dict:
         hashes = _WordHashes()
         made = [shingles(t, rule.width, hashes).tobytes() for t in texts(part)]
-        return {"cls": [xxhash.xxh3_128_digest(v) for v in made], "values": made, "wanted": part.column("wanted")}
+        same = {name: part.column(name) for name in ("no", "wanted")}
+        return same | {"cls": [xxhash.xxh3_128_digest(v) for v in made], "values": made}
 
-    made = mapped(wanted.select("wanted", "text"), per_batch, "cls binary, values binary, wanted binary")
-    return made.where("cls = wanted").select("cls", "values").dropDuplicates(["cls"])
+    made = mapped(once.select("no", "wanted", "text"), per_batch, "no bigint, wanted binary, cls binary, values binary")
+    return made.where("cls = wanted").select("no", "values")
 
 
 def _close(a: Column, b: Column, percent: int) -> Column:
@@ -130,8 +137,10 @@ def _close(a: Column, b: Column, percent: int) -> Column:
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("cls").alias("a"), F.col("values").alias("of_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("values").alias("of_b"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("no")).select(F.xxhash64("no").alias("end"))
+    needed = BitTable(ends, "end").rows(sets.withColumn("end", F.xxhash64("no")), "end")
+    left = needed.select(F.col("no").alias("a"), F.col("values").alias("of_a"))
+    right = needed.select(F.col("no").alias("b"), F.col("values").alias("of_b"))
     pairs = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
 
     def run(parts):
@@ -145,27 +154,27 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """cls, comp: the least class that can be reached, for every class of a link (a, b).
+    """no, comp: the least class that can be reached, for every class of a link (a, b).
 
     Labels pass along links and then jump to the label's label, so rounds grow with the logarithm of a component's
     diameter. Each round is written; it stops when no label changes.
     """
     both = written(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cls"), F.least("a", "m").alias("comp")), "labels")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("no"), F.least("a", "m").alias("comp")), "labels")
     while True:
         heard = (
-            both.join(labels.toDF("b", "heard"), "b").groupBy("a").agg(F.min("heard").alias("heard")).withColumnRenamed("a", "cls")
+            both.join(labels.toDF("b", "heard"), "b").groupBy("a").agg(F.min("heard").alias("heard")).withColumnRenamed("a", "no")
         )
-        step = labels.join(heard, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
+        step = labels.join(heard, "no").select("no", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         jump = labels.toDF("comp", "next")
         moved = written(
-            step.join(jump, "comp").select("cls", F.least("comp", "next").alias("comp"), "old"), "labels"
+            step.join(jump, "comp").select("no", F.least("comp", "next").alias("comp"), "old"), "labels"
         )
-        labels = moved.select("cls", "comp")
+        labels = moved.select("no", "comp")
         if not moved.where("comp <> old").limit(1).count():
             return labels
 
@@ -189,23 +198,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
             F.any_value("n").alias("n"),
             F.any_value("bands").alias("bands"),
-        ).select("cls", "n", "bands", "row.doc_id", "row.text_hash"),
+        ).select("cls", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("no")),
         "classes",
     )
-    in_bands = classes.select(F.explode("bands").alias("bucket"), "cls", "n")
+    in_bands = classes.select(F.explode("bands").alias("bucket"), "no", F.col("n").cast("int").alias("n"))
     shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     placed = written(in_bands.join(shared, "bucket"), "buckets")
-    ranks = placed.groupBy("cls").agg(F.sum("size").alias("met"))
-    members = written(placed.join(ranks, "cls").select("bucket", "cls", "n", "met"), "members")
-    centres = members.groupBy("bucket").agg(F.max(F.struct("met", "cls", "n")).alias("centre"))
+    ranks = placed.groupBy("no").agg(F.sum("size").alias("met"))
+    members = written(placed.join(ranks, "no").select("bucket", "no", "n", "met"), "members")
+    centres = members.groupBy("bucket").agg(F.max(F.struct("met", "no", "n")).alias("centre"))
     edges = written(
         members.join(centres, "bucket")
-        .where((F.col("cls") != F.col("centre.cls")) & _close(F.col("n"), F.col("centre.n"), rule.percent))
-        .select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b"))
+        .where((F.col("no") != F.col("centre.no")) & _close(F.col("n"), F.col("centre.n"), rule.percent))
+        .select(F.least("no", "centre.no").alias("a"), F.greatest("no", "centre.no").alias("b"))
         .distinct(),
         "edges",
     )
-    nodes = members.select("cls").distinct().join(classes.select("cls", "doc_id", "text_hash"), "cls")
+    nodes = written(ranks.select("no").join(classes.select("no", "cls", "doc_id", "text_hash"), "no"), "nodes")
     sets = written(shingle_sets(df, key, text, rule, nodes), "sets")
     links = written(confirmed(edges, sets, rule.percent), "linked")
     labels, tried, turn, idle = components(links), edges, 0, 0
@@ -227,9 +236,9 @@ def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: i
     In every second turn the classes that meet most others are taken, else classes drawn anew.
     """
     order = F.col("met") if turn % 2 == 0 else F.lit(0)
-    placed = members.join(labels, "cls", "left").select(
-        "bucket", F.coalesce("comp", "cls").alias("comp"),
-        F.struct(order.alias("met"), F.xxhash64("cls", F.lit(turn)).alias("draw"), "cls", "n").alias("one"),
+    placed = members.join(labels, "no", "left").select(
+        "bucket", F.coalesce("comp", "no").alias("comp"),
+        F.struct(order.alias("met"), F.xxhash64("no", F.lit(turn)).alias("draw"), "no", "n").alias("one"),
     )
     drawn = placed.groupBy("bucket", "comp").agg(F.max("one").alias("one"))
     centres = (
@@ -240,15 +249,15 @@ def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: i
         (F.col("comp") != F.col("c.comp")) & _close(F.col("one.n"), F.col("c.one.n"), percent)
     )
     edges = stars.select(
-        F.least("one.cls", "c.one.cls").alias("a"), F.greatest("one.cls", "c.one.cls").alias("b")
+        F.least("one.no", "c.one.no").alias("a"), F.greatest("one.no", "c.one.no").alias("b")
     ).distinct()
     return edges.join(tried, ["a", "b"], "left_anti")
 
 
 def _labelled(made: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    placed = classes.select("cls", "doc_id", "text_hash").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    placed = classes.select("no", "cls", "doc_id", "text_hash").join(labels, "no", "left").withColumn("comp", F.coalesce("comp", "no"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "text_hash")
-    first = placed.groupBy("comp").agg(F.min(row).alias("first"))
+    first = written(placed.groupBy("comp").agg(F.min(row).alias("first")), "first")  # so that the join can split a large component
     of_class = placed.select("cls", "comp").join(first, "comp").select("cls", "first")
     return made.select("doc_id", "n", "text_hash", "cls").join(of_class, "cls", "left").select(
         "doc_id",

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from parselab.llm.common import BitTable, mapped, texts
 from parselab.session import written
 
-MEMO = 500_000
+MEMO = 300_000
+FILTER_BITS = 1 << 24
 ROW_KEY = ["id_or_0", "no_id", "hash"]
 
 
@@ -116,7 +117,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, rule: Rule, nodes: DataFram
     A bit table of the text hashes keeps most other texts from the shuffle.
     """
     read = df.select(F.col(text).alias("text"), *_row_key(F.col(key).cast("bigint"), F.xxhash64(text)))
-    read = BitTable(nodes, "text_hash").rows(read, "hash")
+    read = BitTable(nodes, "text_hash", FILTER_BITS).rows(read, "hash")
     named = nodes.select("no", F.col("cls").alias("wanted"), *_row_key(F.col("doc_id"), F.col("text_hash")))
     once = read.join(named, ROW_KEY).groupBy(*ROW_KEY).agg(*(F.first(c).alias(c) for c in ("no", "wanted", "text")))
 
@@ -138,7 +139,7 @@ def _close(a: Column, b: Column, percent: int) -> Column:
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("no")).select(F.xxhash64("no").alias("end"))
-    needed = BitTable(ends, "end").rows(sets.withColumn("end", F.xxhash64("no")), "end")
+    needed = BitTable(ends, "end", FILTER_BITS).rows(sets.withColumn("end", F.xxhash64("no")), "end")
     left = needed.select(F.col("no").alias("a"), F.col("values").alias("of_a"))
     right = needed.select(F.col("no").alias("b"), F.col("values").alias("of_b"))
     pairs = edges.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
@@ -184,10 +185,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
 
     Equal sets are one class before anything else, so exact copies cost one row each. Classes that share a bucket form a
     star around the class that meets most others over all its buckets (an original among its copies); edges are checked on
-    the full sets. Buckets whose classes still lie in more than one component get further stars, over one class of each
-    component, until two rounds in turn find no new link: so a class that does not resemble the centre is tried
-    against others, without pairs within a bucket. Hot buckets are reduced to a centre before the shuffle; the join
-    back splits by size.
+    the full sets. Buckets of three or more classes that still lie in several components get further stars, over one
+    class of each component, until two turns find no new link: so a class that does not resemble the centre is
+    tried against others, without pairs within a bucket. Hot buckets are reduced to a centre before the shuffle; the
+    join back splits by size.
 
     Texts without words (null, empty) are linked with nothing: their component is their own doc_id. Repeated rows are
     copies; a null doc_id counts as no id for the least id. An empty table gives no rows; other columns are not read.
@@ -201,11 +202,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
         ).select("cls", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("no")),
         "classes",
     )
-    in_bands = classes.select(F.explode("bands").alias("bucket"), "no", F.col("n").cast("int").alias("n"))
+    after = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
+    in_bands = classes.select(
+        F.explode(F.arrays_zip(F.col("bands").alias("bucket"), after.alias("next"))).alias("at"), "no", F.col("n").cast("int").alias("n")
+    ).select("at.bucket", "at.next", "no", "n")
     shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     placed = written(in_bands.join(shared, "bucket"), "buckets")
     ranks = placed.groupBy("no").agg(F.sum("size").alias("met"))
-    members = written(placed.join(ranks, "no").select("bucket", "no", "n", "met"), "members")
+    members = written(placed.join(ranks, "no"), "members")
     centres = members.groupBy("bucket").agg(F.max(F.struct("met", "no", "n")).alias("centre"))
     edges = written(
         members.join(centres, "bucket")
@@ -216,36 +220,45 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     )
     nodes = written(ranks.select("no").join(classes.select("no", "cls", "doc_id", "text_hash"), "no"), "nodes")
     sets = written(shingle_sets(df, key, text, rule, nodes), "sets")
-    links = written(confirmed(edges, sets, rule.percent), "linked")
-    labels, tried, turn, idle = components(links), edges, 0, 0
+    found = components(written(confirmed(edges, sets, rule.percent), "linked"))
+    labels = written(nodes.join(found, "no", "left").select("no", F.coalesce("comp", "no").alias("comp")), "labels")
+    # A bucket of two has had its one pair; one in a single component needs nothing more.
+    seen = members.where("size > 2").join(labels, "no")
+    several = seen.groupBy("bucket").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("bucket")
+    members = written(seen.drop("comp").join(several, "bucket"), "members")
+    tried, turn, idle = edges, 0, 0
     while idle < 2:
         turn += 1
         again = written(_next_stars(members, labels, tried, turn, rule.percent), "edges")
-        found = written(confirmed(again, sets, rule.percent), "linked")
+        links = written(confirmed(again, sets, rule.percent), "linked")
         tried = tried.union(again)
-        idle = 0 if found.limit(1).count() else idle + 1
-        if not idle:
-            links = links.union(found)
-            labels = components(links)
+        if links.limit(1).count():
+            idle, labels = 0, _joined(labels, links)
+        else:
+            idle += 1
     return _labelled(made, classes, labels)
 
 
 def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
-    """New edges (a, b) between components that share a bucket: one class of each, around the first of those.
+    """New edges (a, b) between components that share a cell: one class of each, around the first of those.
 
-    In every second turn the classes that meet most others are taken, else classes drawn anew.
+    By turns a cell is a bucket and the part of it that also shares the next band, where only the most alike meet. First
+    the classes that meet most others stand for their components, from the third turn on classes drawn anew.
     """
-    order = F.col("met") if turn % 2 == 0 else F.lit(0)
-    placed = members.join(labels, "no", "left").select(
-        "bucket", F.coalesce("comp", "no").alias("comp"),
-        F.struct(order.alias("met"), F.xxhash64("no", F.lit(turn)).alias("draw"), "no", "n").alias("one"),
-    )
-    drawn = placed.groupBy("bucket", "comp").agg(F.max("one").alias("one"))
+    cell = ["bucket", "next"] if turn % 2 else ["bucket"]
+    order = F.col("met") if turn <= 2 else F.lit(0)
+    drawn = (
+        members.join(labels, "no")
+        .groupBy(*cell, "comp")
+        .agg(F.max(F.struct(order.alias("met"), F.xxhash64("no", F.lit(turn)).alias("draw"), "no", "n")).alias("one"))
+    )
     centres = (
-        drawn.groupBy("bucket").agg(F.max(F.struct("one", "comp")).alias("c"), F.max("comp").alias("z"), F.min("comp").alias("y"))
-        .where("y <> z").select("bucket", "c")
-    )
-    stars = drawn.join(centres, "bucket").where(
+        drawn.groupBy(*cell)
+        .agg(F.max(F.struct("one", "comp")).alias("c"), F.max("comp").alias("z"), F.min("comp").alias("y"))
+        .where("y <> z")
+        .select(*cell, "c")
+    )
+    stars = drawn.join(centres, cell).where(
         (F.col("comp") != F.col("c.comp")) & _close(F.col("one.n"), F.col("c.one.n"), percent)
     )
     edges = stars.select(
@@ -254,6 +267,14 @@ def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: i
     return edges.join(tried, ["a", "b"], "left_anti")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: only the components at their ends are looked at."""
+    ends = links.join(labels.toDF("a", "of_a"), "a").join(labels.toDF("b", "of_b"), "b")
+    moved = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b"))
+    new = labels.join(moved.toDF("comp", "new"), "comp", "left")
+    return written(new.select("no", F.coalesce("new", "comp").alias("comp")), "labels")
+
+
 def _labelled(made: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     placed = classes.select("no", "cls", "doc_id", "text_hash").join(labels, "no", "left").withColumn("comp", F.coalesce("comp", "no"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "cls", "text_hash")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,10 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parselab.llm.common import BitTable, mapped, texts
+from parselab.llm.common import BitTable, mapped, small_batches, texts
 from parselab.session import written
 
-MEMO = 300_000
+MEMO = 150_000
+BATCH = 512  # documents or pairs of sets in one Arrow batch
 FILTER_BITS = 1 << 24
 ROW_KEY = ["id_or_0", "no_id", "hash"]
 
@@ -40,6 +42,14 @@ class _WordHashes(dict):
         return found
 
 
+_HASHES = _WordHashes()
+
+
+def word_hashes() -> _WordHashes:
+    """The word hashes of this worker; they go on from batch to batch."""
+    return _HASHES
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -60,6 +70,7 @@ def shingles(text: str, width: int, hashes: dict) -> np.ndarray:
     return np.unique(found)
 
 
+@cache
 def probe_order(bins: int) -> np.ndarray:
     """For each bin the rank of every bin in its own fixed random order."""
     return np.argsort(np.random.default_rng(5).random((bins, bins)), axis=1).argsort(axis=1).astype(np.uint16)
@@ -93,7 +104,7 @@ def sketches(df: DataFrame, key: str, text: str, rule: Rule) -> DataFrame:
     )
 
     def per_batch(part: pa.RecordBatch) -> dict:
-        hashes, order = _WordHashes(), probe_order(rule.bins)
+        hashes, order = word_hashes(), probe_order(rule.bins)
         n, cls, bands = [], [], []
         for t in texts(part):
             values = shingles(t, rule.width, hashes)
@@ -122,7 +133,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, rule: Rule, nodes: DataFram
     once = read.join(named, ROW_KEY).groupBy(*ROW_KEY).agg(*(F.first(c).alias(c) for c in ("no", "wanted", "text")))
 
     def per_batch(part: pa.RecordBatch) -> dict:
-        hashes = _WordHashes()
+        hashes = word_hashes()
         made = [shingles(t, rule.width, hashes).tobytes() for t in texts(part)]
         same = {name: part.column(name) for name in ("no", "wanted")}
         return same | {"cls": [xxhash.xxh3_128_digest(v) for v in made], "values": made}
@@ -193,50 +204,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
     Texts without words (null, empty) are linked with nothing: their component is their own doc_id. Repeated rows are
     copies; a null doc_id counts as no id for the least id. An empty table gives no rows; other columns are not read.
     """
-    made = written(sketches(df, key, text, rule), "sketches")
-    classes = written(
-        made.where("cls is not null").groupBy("cls").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
-            F.any_value("n").alias("n"),
-            F.any_value("bands").alias("bands"),
-        ).select("cls", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("no")),
-        "classes",
-    )
-    after = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
-    in_bands = classes.select(
-        F.explode(F.arrays_zip(F.col("bands").alias("bucket"), after.alias("next"))).alias("at"), "no", F.col("n").cast("int").alias("n")
-    ).select("at.bucket", "at.next", "no", "n")
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = written(in_bands.join(shared, "bucket"), "buckets")
-    ranks = placed.groupBy("no").agg(F.sum("size").alias("met"))
-    members = written(placed.join(ranks, "no"), "members")
-    centres = members.groupBy("bucket").agg(F.max(F.struct("met", "no", "n")).alias("centre"))
-    edges = written(
-        members.join(centres, "bucket")
-        .where((F.col("no") != F.col("centre.no")) & _close(F.col("n"), F.col("centre.n"), rule.percent))
-        .select(F.least("no", "centre.no").alias("a"), F.greatest("no", "centre.no").alias("b"))
-        .distinct(),
-        "edges",
-    )
-    nodes = written(ranks.select("no").join(classes.select("no", "cls", "doc_id", "text_hash"), "no"), "nodes")
-    sets = written(shingle_sets(df, key, text, rule, nodes), "sets")
-    found = components(written(confirmed(edges, sets, rule.percent), "linked"))
-    labels = written(nodes.join(found, "no", "left").select("no", F.coalesce("comp", "no").alias("comp")), "labels")
-    # A bucket of two has had its one pair; one in a single component needs nothing more.
-    seen = members.where("size > 2").join(labels, "no")
-    several = seen.groupBy("bucket").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("bucket")
-    members = written(seen.drop("comp").join(several, "bucket"), "members")
-    tried, turn, idle = edges, 0, 0
-    while idle < 2:
-        turn += 1
-        again = written(_next_stars(members, labels, tried, turn, rule.percent), "edges")
-        links = written(confirmed(again, sets, rule.percent), "linked")
-        tried = tried.union(again)
-        if links.limit(1).count():
-            idle, labels = 0, _joined(labels, links)
-        else:
-            idle += 1
-    return _labelled(made, classes, labels)
+    with small_batches(df.sparkSession, BATCH):
+        made = written(sketches(df, key, text, rule), "sketches")
+        classes = written(
+            made.where("cls is not null").groupBy("cls").agg(
+                F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
+                F.any_value("n").alias("n"),
+                F.any_value("bands").alias("bands"),
+            ).select("cls", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("no")),
+            "classes",
+        )
+        after = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
+        in_bands = classes.select(
+            F.explode(F.arrays_zip(F.col("bands").alias("bucket"), after.alias("next"))).alias("at"), "no", F.col("n").cast("int").alias("n")
+        ).select("at.bucket", "at.next", "no", "n")
+        shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        placed = written(in_bands.join(shared, "bucket"), "buckets")
+        ranks = placed.groupBy("no").agg(F.sum("size").alias("met"))
+        members = written(placed.join(ranks, "no"), "members")
+        centres = members.groupBy("bucket").agg(F.max(F.struct("met", "no", "n")).alias("centre"))
+        edges = written(
+            members.join(centres, "bucket")
+            .where((F.col("no") != F.col("centre.no")) & _close(F.col("n"), F.col("centre.n"), rule.percent))
+            .select(F.least("no", "centre.no").alias("a"), F.greatest("no", "centre.no").alias("b"))
+            .distinct(),
+            "edges",
+        )
+        nodes = written(ranks.select("no").join(classes.select("no", "cls", "doc_id", "text_hash"), "no"), "nodes")
+        sets = written(shingle_sets(df, key, text, rule, nodes), "sets")
+        found = components(written(confirmed(edges, sets, rule.percent), "linked"))
+        labels = written(nodes.join(found, "no", "left").select("no", F.coalesce("comp", "no").alias("comp")), "labels")
+        # A bucket of two has had its one pair; one in a single component needs nothing more.
+        seen = members.where("size > 2").join(labels, "no")
+        several = seen.groupBy("bucket").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("bucket")
+        members = written(seen.drop("comp").join(several, "bucket"), "members")
+        tried, turn, idle = edges, 0, 0
+        while idle < 2:
+            turn += 1
+            again = written(_next_stars(members, labels, tried, turn, rule.percent), "edges")
+            links = written(confirmed(again, sets, rule.percent), "linked")
+            tried = tried.union(again)
+            if links.limit(1).count():
+                idle, labels = 0, _joined(labels, links)
+            else:
+                idle += 1
+        return _labelled(made, classes, labels)
 
 
 def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:

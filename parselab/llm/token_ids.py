@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,11 @@ LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 ODD_SPACE = re.compile(r"\s | \s|^ | $")
 
 
+def packed(kind: str, ids: list[int]) -> bytes:
+    """Little-endian unsigned numbers of 16 (H) or 32 (I) bits."""
+    return struct.pack(f"<{len(ids)}{kind}", *ids)
+
+
 class _Cached:
     """Ids as little-endian bytes by cut; emptied when full."""
 
@@ -42,36 +48,38 @@ class WordIds(_Cached):
 
         super().__init__(cached)
         self.library = Tokenizer.from_file(path)
-        size = self.library.get_vocab_size()
-        self.word_ends, self.marks = np.zeros(size, bool), np.zeros(size, bool)
-        self.word_ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.marks[self.library.encode(MARK, add_special_tokens=False).ids] = True  # one id, which no other text has
+        (self.mark,) = self.library.encode(MARK, add_special_tokens=False).ids  # one id, which no other text has
+        self.tokenize = self.library.model.tokenize
+        steps = self.library.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): steps(c)[0][0] for c in map(chr, range(256)) if LETTERS.fullmatch(c)}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of plain letters in lower case: one pre-token, so the model alone is asked."""
+        return packed("I", [token.id for token in self.tokenize(word.translate(self.letters))])
 
-    def _between(self, words: list[str], joint: str, ends_of: np.ndarray) -> Iterator[tuple[str, bytes]]:
-        """(word, ids) of words encoded in one call; ``ends_of`` marks the ids at which one ends."""
+    def _marked(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of any words without the mark: many are encoded in one call, with the mark between."""
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.library.encode(joint.join([*some, ""]), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ends_of[ids]).tolist()
-            skip = joint != " "  # the mark itself
+            ids = np.array(self.library.encode(f" {MARK} ".join([*some, ""]), add_special_tokens=False).ids, "<u4")
             data, start = ids.tobytes(), 0
-            for word, end in zip(some, ends, strict=True):
-                yield word, data[4 * start : 4 * (end + 1 - skip)]
+            for word, end in zip(some, np.flatnonzero(ids == self.mark).tolist(), strict=True):
+                yield word, data[4 * start : 4 * end]
                 start = end + 1
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
-        """Punctuation after a letter is separate from the word. A word of plain letters ends in a word-end token;
-        between others a mark is put."""
+        """Punctuation after a letter is separate from the word, and plain letters are lowered one by one."""
         heads = [w.rstrip(PUNCTUATION) for w in words]
         split = [h if h and h[-1].isascii() and h[-1].isalpha() else w for h, w in zip(heads, words, strict=True)]
+        keys = [h.lower() if LETTERS.fullmatch(h) else h for h in split]
         plain, other = [], []
-        for word in {*split, *(w[len(h) :] for h, w in zip(split, words, strict=True))}:
+        for word in {*keys, *(w[len(h) :] for h, w in zip(split, words, strict=True))}:
             (plain if LETTERS.fullmatch(word) else other).append(word)
-        known = dict(self._between(plain, " ", self.word_ends))
+        known = {w: self._word(w) for w in plain}
         odd = [w for w in other if MARK in w or not w.strip()]
-        known.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in odd)
-        known.update(self._between([w for w in other if w not in known], f" {MARK} ", self.marks))
-        return (known[h] + known[w[len(h) :]] for h, w in zip(split, words, strict=True))
+        known.update((w, packed("I", self.library.encode(w, add_special_tokens=False).ids)) for w in odd)
+        known.update(self._marked([w for w in other if w not in known]))
+        return (known[k] + known[w[len(h) :]] for k, h, w in zip(keys, split, words, strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -95,8 +103,8 @@ class RankIds(_Cached):
         self.kind = "<u2" if len(ranks) < 1 << 16 else "<u4"
 
     def _encode(self, cuts: list[str]) -> Iterator[bytes]:
-        encode, kind = self.library.encode_ordinary, self.kind
-        return (np.array(encode(c), kind).tobytes() for c in cuts)
+        encode, kind = self.library.encode_ordinary, "H" if self.kind == "<u2" else "I"
+        return (packed(kind, encode(c)) for c in cuts)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned numbers of ``kind``."""

@@ -18,8 +18,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def batches(per_batch: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str):
-    """A function for ``mapInArrow``: columns by name in, columns in the order of ``schema`` out."""
+def batches(per_batch: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str, done=None):
+    """A function for ``mapInArrow``: columns by name in, columns in the order of ``schema`` out; ``done()`` ends a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -30,12 +30,14 @@ def batches(per_batch: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBat
             if part.num_rows:
                 made = per_batch(part)
                 yield pa.RecordBatch.from_pydict(made, schema=out) if isinstance(made, dict) else made
+        if done is not None:
+            done()
 
     return run
 
 
-def mapped(df: DataFrame, per_batch, schema: str) -> DataFrame:
-    return df.mapInArrow(batches(per_batch, schema), schema)
+def mapped(df: DataFrame, per_batch, schema: str, done=None) -> DataFrame:
+    return df.mapInArrow(batches(per_batch, schema, done), schema)
 
 
 @contextmanager

@@ -44,7 +44,8 @@ def pieces(
                     column.append(value)
         return out
 
-    return mapped(df.selectExpr(f"cast(`{key}` as bigint) AS doc_id", f"`{text}` AS text"), per_batch, PIECES)
+    read = df.selectExpr(f"cast(`{key}` as bigint) AS doc_id", f"`{text}` AS text")
+    return mapped(read, per_batch, PIECES, lambda: once(WordIds, tokenizer).clear())
 
 
 def pack(

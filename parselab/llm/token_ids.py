@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-CACHED = 600_000
+CACHED = 200_000
 MARK = "\x01"
 PUNCTUATION = ".,;:!?*%&#$"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -28,6 +28,10 @@ class _Cached:
         self.cached = cached
         self.ids: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        """At the end of a task: idle workers hold no cache."""
+        self.ids.clear()
+
     def known(self, cuts: list[list[str]], encode: Callable[[list[str]], Iterator[bytes]]) -> dict[str, bytes]:
         words = {w for cut in cuts for w in cut}
         new = words - self.ids.keys()
@@ -125,7 +129,7 @@ _MADE: dict[tuple, object] = {}
 
 
 def once(kind, *of):
-    """One encoder a worker; its cache goes on from task to task."""
+    """One encoder a worker; what it read from the vocabulary goes on from task to task."""
     if (kind, *of) not in _MADE:
         _MADE[kind, *of] = kind(*of)
     return _MADE[kind, *of]

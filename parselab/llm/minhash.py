@@ -1,4 +1,4 @@
-"""Near duplicates: one-permutation hashing, banded buckets, star-shaped candidate edges, links on full sets."""
+"""Near duplicates: one-permutation hashing, banded buckets, star-shaped candidate edges, the pairs left in blocks, links on full sets."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from parselab.session import written
 MEMO = 150_000
 BATCH = 512  # documents or pairs of sets in one Arrow batch
 FILTER_BITS = 1 << 24
+BLOCK, BLOCK_SHINGLES = 512, 500_000  # classes of a bucket, and shingles of them, in one block (about, by hash)
+COLUMNS_AT_ONCE = 4096
 ROW_KEY = ["id_or_0", "no_id", "hash"]
 
 
@@ -196,10 +198,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
 
     Equal sets are one class before anything else, so exact copies cost one row each. Classes that share a bucket form a
     star around the class that meets most others over all its buckets (an original among its copies); edges are checked on
-    the full sets. Buckets of three or more classes that still lie in several components get further stars, over one
-    class of each component, until two turns find no new link: so a class that does not resemble the centre is
-    tried against others, without pairs within a bucket. Hot buckets are reduced to a centre before the shuffle; the
-    join back splits by size.
+    the full sets. In buckets whose other classes still lie in several components every pair from two components is then
+    compared on the full sets, in blocks of bounded size, so no pair of classes that share a bucket stays untested. Hot buckets
+    are reduced to a centre before the shuffle; the join back splits by size.
 
     Texts without words (null, empty) are linked with nothing: their component is their own doc_id. Repeated rows are
     copies; a null doc_id counts as no id for the least id. An empty table gives no rows; other columns are not read.
@@ -214,18 +215,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
             ).select("cls", "n", "bands", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("no")),
             "classes",
         )
-        after = F.concat(F.slice("bands", 2, F.size("bands") - 1), F.slice("bands", 1, 1))
-        in_bands = classes.select(
-            F.explode(F.arrays_zip(F.col("bands").alias("bucket"), after.alias("next"))).alias("at"), "no", F.col("n").cast("int").alias("n")
-        ).select("at.bucket", "at.next", "no", "n")
+        in_bands = classes.select(F.explode("bands").alias("bucket"), "no", F.col("n").cast("int").alias("n"))
         shared = in_bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
         placed = written(in_bands.join(shared, "bucket"), "buckets")
         ranks = placed.groupBy("no").agg(F.sum("size").alias("met"))
         members = written(placed.join(ranks, "no"), "members")
         centres = members.groupBy("bucket").agg(F.max(F.struct("met", "no", "n")).alias("centre"))
+        around = members.join(centres, "bucket").where(F.col("no") != F.col("centre.no"))
         edges = written(
-            members.join(centres, "bucket")
-            .where((F.col("no") != F.col("centre.no")) & _close(F.col("n"), F.col("centre.n"), rule.percent))
+            around.where(_close(F.col("n"), F.col("centre.n"), rule.percent))
             .select(F.least("no", "centre.no").alias("a"), F.greatest("no", "centre.no").alias("b"))
             .distinct(),
             "edges",
@@ -234,56 +232,132 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", rule
         sets = written(shingle_sets(df, key, text, rule, nodes), "sets")
         found = components(written(confirmed(edges, sets, rule.percent), "linked"))
         labels = written(nodes.join(found, "no", "left").select("no", F.coalesce("comp", "no").alias("comp")), "labels")
-        # A bucket of two has had its one pair; one in a single component needs nothing more.
-        seen = members.where("size > 2").join(labels, "no")
-        several = seen.groupBy("bucket").agg(F.min("comp").alias("y"), F.max("comp").alias("z")).where("y <> z").select("bucket")
-        members = written(seen.drop("comp").join(several, "bucket"), "members")
-        tried, turn, idle = edges, 0, 0
-        while idle < 2:
-            turn += 1
-            again = written(_next_stars(members, labels, tried, turn, rule.percent), "edges")
-            links = written(confirmed(again, sets, rule.percent), "linked")
-            tried = tried.union(again)
-            if links.limit(1).count():
-                idle, labels = 0, _joined(labels, links)
-            else:
-                idle += 1
-        return _labelled(made, classes, labels)
-
-
-def _next_stars(members: DataFrame, labels: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
-    """New edges (a, b) between components that share a cell: one class of each, around the first of those.
-
-    By turns a cell is a bucket and the part of it that also shares the next band, where only the most alike meet. First
-    the classes that meet most others stand for their components, from the third turn on classes drawn anew.
+        # The centre of a bucket has been tried against all others, or their sizes rule the pair out.
+        rest = written(around.where("size > 2").select("bucket", "no", "n").join(labels, "no"), "rest")
+        return _labelled(made, classes, _joined(labels, written(_compared(_blocks(rest), sets, rule.percent), "linked")))
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """bucket, i, j, own, no, comp: the members (bucket, no, n, comp) of open buckets, once for each pair of blocks they are in.
+
+    Classes of a bucket's largest component lie in blocks of their own, which do not meet each other: their pairs would join
+    nothing. All other pairs of classes of a bucket meet in just one pair of blocks. Of buckets with the same members one is read.
     """
-    cell = ["bucket", "next"] if turn % 2 else ["bucket"]
-    order = F.col("met") if turn <= 2 else F.lit(0)
-    drawn = (
-        members.join(labels, "no")
-        .groupBy(*cell, "comp")
-        .agg(F.max(F.struct(order.alias("met"), F.xxhash64("no", F.lit(turn)).alias("draw"), "no", "n")).alias("one"))
+    parts = rest.groupBy("bucket", "comp").agg(
+        F.count("*").alias("size"),
+        F.sum("n").alias("total"),
+        F.bit_xor(F.xxhash64("no")).alias("x"),
+        F.bit_xor(F.xxhash64("no", F.lit(1))).alias("y"),
     )
-    centres = (
-        drawn.groupBy(*cell)
-        .agg(F.max(F.struct("one", "comp")).alias("c"), F.max("comp").alias("z"), F.min("comp").alias("y"))
-        .where("y <> z")
-        .select(*cell, "c")
+    open_ = (
+        parts.groupBy("bucket")
+        .agg(
+            F.max(F.struct("size", "comp", "total")).alias("most"),
+            F.sum("size").alias("size"),
+            F.sum("total").alias("total"),
+            F.bit_xor("x").alias("x"),
+            F.bit_xor("y").alias("y"),
+        )
+        .where("size > most.size")
+        .groupBy("x", "y", "size", "total")
+        .agg(F.min_by("most", "bucket").alias("most"), F.min("bucket").alias("bucket"))
     )
-    stars = drawn.join(centres, cell).where(
-        (F.col("comp") != F.col("c.comp")) & _close(F.col("one.n"), F.col("c.one.n"), percent)
+
+    def needed(size: Column, total: Column) -> Column:
+        return F.greatest(F.ceil(size / BLOCK), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+
+    counted = open_.select(
+        "bucket",
+        F.col("most.comp").alias("main"),
+        needed(F.col("size") - F.col("most.size"), F.col("total") - F.col("most.total")).alias("others"),
+        needed(F.col("most.size"), F.col("most.total")).alias("mains"),
     )
-    edges = stars.select(
-        F.least("one.no", "c.one.no").alias("a"), F.greatest("one.no", "c.one.no").alias("b")
-    ).distinct()
-    return edges.join(tried, ["a", "b"], "left_anti")
+    dealt = rest.join(counted, "bucket").withColumn(
+        "own",
+        F.when(F.col("comp") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("no"), "mains"))
+        .otherwise(F.pmod(F.xxhash64("no"), "others")).cast("int"),
+    )
+    last = F.when(F.col("own") < F.col("others"), F.col("others") + F.col("mains")).otherwise(F.col("others")) - 1
+    met = dealt.select("bucket", "own", "no", "comp", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "no", "comp")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The number of common values of each set on the left with each on the right."""
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(v) for v in (*left, *right)])
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    columns = np.cumsum(count > 1) - 1  # a value of one set is in no pair
+    several = count[at] > 1
+    owner, at = owner[several], columns[at[several]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    found = np.zeros((len(left), len(right)))
+    for start in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS_AT_ONCE):
+        a, z = np.searchsorted(at, (start, start + COLUMNS_AT_ONCE))
+        holds = np.zeros((len(left) + len(right), min(COLUMNS_AT_ONCE, int(columns[-1]) + 1 - start)), np.float32)
+        holds[owner[a:z], at[a:z] - start] = 1
+        found += holds[: len(left)] @ holds[len(left) :].T
+    return found
+
+
+def _between(own: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a similar pair of sets joins, as few as join them; ``own`` tells the two blocks apart."""
+    left = np.flatnonzero(own == own.min())
+    right = np.flatnonzero(own != own.min())
+    right = right if len(right) else left
+    sizes = np.array([len(v) for v in sets])
+    shared = _overlaps([sets[k] for k in left], [sets[k] for k in right])
+    union = sizes[left][:, None] + sizes[right][None, :] - shared
+    x, y = np.nonzero((100 * shared >= percent * union) & (comps[left][:, None] != comps[right][None, :]))
+    pairs = np.unique(np.sort(np.stack((comps[left][x], comps[right][y]), axis=1), axis=1), axis=0)
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in top:
+            c = top[c]
+        return c
+
+    joining = []
+    for a, b in pairs.tolist():
+        p, q = root(a), root(b)
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            joining.append((a, b))
+    return joining
+
+
+def _compared(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: components that a pair of similar full sets joins, from all pairs of classes of two components in each pair of blocks."""
+    keys = ["bucket", "i", "j"]
+    rows = blocks.join(sets, "no").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(parts):
+        key, own, comps, held = None, [], [], []
+
+        def ended():
+            found = _between(np.array(own), np.array(comps, np.int64), held, percent) if len(set(comps)) > 1 else []
+            return pa.RecordBatch.from_pydict(
+                {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
+            )
+
+        for part in parts:
+            columns = [part.column(name).to_pylist() for name in (*keys, "own", "comp")]
+            for *at, block, comp, value in zip(*columns, part.column("values"), strict=True):
+                if at != key:
+                    yield ended()
+                    key, own, comps, held = at, [], [], []
+                own.append(block)
+                comps.append(comp)
+                held.append(np.frombuffer(value.as_py(), np.uint64))
+        yield ended()
+
+    return rows.select(*keys, "own", "comp", "values").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels after further links: only the components at their ends are looked at."""
-    ends = links.join(labels.toDF("a", "of_a"), "a").join(labels.toDF("b", "of_b"), "b")
-    moved = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).where("a <> b"))
-    new = labels.join(moved.toDF("comp", "new"), "comp", "left")
+    """The labels after further links (a, b) between components."""
+    new = labels.join(components(links).toDF("comp", "new"), "comp", "left")
     return written(new.select("no", F.coalesce("new", "comp").alias("comp")), "labels")
 
 

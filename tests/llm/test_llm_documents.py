@@ -391,6 +391,30 @@ def test_near_duplicates(spark, seed, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_in_one_bucket(spark, monkeypatch, block):
+    """Pairs that resemble nothing else, and a chain, all in one bucket: whatever its centre, most links lie elsewhere."""
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    hashes, order = minhash.word_hashes(), minhash.probe_order(2)
+    rule = minhash.Rule(width=1, bins=2, rows=2)
+    words = sorted((f"w{k}" for k in range(4000)), key=lambda w: int(minhash.shingles(w, 1, hashes)[0]) % 2**63)
+    low, own = words[:40], words[40:]  # the least of both halves are in every text, so there is one bucket
+    made = []
+    for k in range(12):
+        base = low + own[60 * k : 60 * k + 60]
+        made += [base, [*base[:-3], *(f"x{k}y{i}" for i in range(3))]]
+    chain = low + own[800:860]
+    for k in range(12):  # each is like the next, the ends are not alike
+        made.append(chain[: 100 - 5 * k] + own[900 : 900 + 5 * k])
+    rows = [(k * 7 % len(made), " ".join(t)) for k, t in enumerate(made)]
+    assert len({int(minhash.band_keys(minhash.shingles(t, 1, hashes), rule, order)[0]) for _, t in rows}) == 1
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = minhash.near_duplicates(df, rule=rule).collect()
+    expected = components_of(rows, 1)
+    assert len({c for _, _, c in expected}) == 13
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(expected)
+
+
 def test_near_duplicate_cases(odd, none):
     found = minhash.near_duplicates(odd, rule=minhash.Rule(width=2)).collect()
     expected = components_of([(i, t) for i, t, _ in ODD], 2)

@@ -77,8 +77,6 @@ def ratios(data: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[
     """Compressed size / size of the whole text and of its full chunks."""
     whole = len(press.compress(data)) / len(data) if data else 1.0
     full = len(data) // bands.chunk
-    if full < 2:
-        return whole, [whole] * full
     view = memoryview(data)
     parts = (view[i * bands.chunk : (i + 1) * bands.chunk] for i in range(full))
     return whole, [len(press.compress(part)) / bands.chunk for part in parts]

@@ -97,9 +97,20 @@ class _Open:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     path: tuple[str, int] = ("", 0)
-    apart: bool = False
+    apart: tuple[int, ...] = ()
+    marks: list[tuple[int, int]] = field(default_factory=list)  # place in the stack and number of open ``APART`` elements
+    marked: int = 0
+    closed: set[int] = field(default_factory=set)  # numbers of those that their own end tag closed
+
+    def mark(self) -> None:
+        self.marks.append((len(self.stack) - 1, self.marked))
+        self.marked += 1
 
     def cut(self, to: int) -> None:
+        while self.marks and self.marks[-1][0] >= to:
+            place, number = self.marks.pop()
+            if place == to:
+                self.closed.add(number)
         for tag, _ in self.stack[to:]:
             self.count[tag] -= 1
         del self.stack[to:]
@@ -125,6 +136,7 @@ def blocks(page: str, paths: Paths) -> list[Block]:
     white space (a line break tag counts as such) becomes one space, ends are trimmed.
     """
     out: list[Block] = []
+    within: list[tuple[int, ...]] = []
     state = _Open()
 
     def read(piece: str) -> None:
@@ -135,7 +147,7 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if not state.pieces:
             block = next((t for t, _ in reversed(state.stack) if t not in INLINE), "")
             state.path = block, state.stack[-1][1]
-            state.apart = any(state.count[t] for t in APART)
+            state.apart = tuple(number for _, number in state.marks)
         state.pieces.append(html.unescape(piece) if "&" in piece else piece)
         if state.count["a"] > 0:
             state.linked += len(piece)
@@ -144,7 +156,8 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if state.pieces:
             text = " ".join("".join(state.pieces).split())
             if text:
-                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text)), state.apart))
+                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text)), False))
+                within.append(state.apart)
             state.pieces, state.linked = [], 0
 
     at = 0
@@ -178,8 +191,16 @@ def blocks(page: str, paths: Paths) -> list[Block]:
             continue
         state.stack.append((tag, paths.child(state.stack[-1][1], tag, attributes)))
         state.count[tag] += 1
+        if tag in APART:
+            state.mark()
     read(page[at:])
     end_block()
+    sizes: Counter = Counter()
+    for block, numbers in zip(out, within, strict=True):
+        sizes.update(dict.fromkeys(numbers, len(block.text)))
+    whole = sum(len(block.text) for block in out)
+    for block, numbers in zip(out, within, strict=True):
+        block.apart = any(k in state.closed and 2 * sizes[k] <= whole for k in numbers)
     return out
 
 
@@ -261,7 +282,8 @@ def trained() -> dict[str, np.ndarray]:
 def article_texts(pages: list[str], weights: dict[str, np.ndarray], paths: Paths, cells: int = 20_000) -> list[str]:
     """The main text of each page: the blocks labelled as article, joined by line ends.
 
-    After the labeller, blocks in an element that by its name is never article text (``APART``) are let go.
+    After the labeller, blocks in an element that by its name is never article text (``APART``) are let go, if its own end tag
+    closes it and it holds at most half of the page's text; in others the labeller decides alone.
 
     Pages go through the network in groups of about equal length and at most ``cells`` blocks (or one page).
     """

@@ -26,7 +26,7 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as [0-9a-f]+ of 32 or more: a run is found at its first character
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 Span = tuple[int, int, str]
 
 
@@ -34,15 +34,18 @@ Span = tuple[int, int, str]
 class Entropy:
     """Windows of ``window`` characters inside candidate strings, and the least entropy in bits by character class.
 
-    Classes: ``hex`` is digits and a-f (or A-F) with both digits and letters; ``base64`` is any string of the candidate
-    alphabet in which a window has digits, small and large letters. Windows of letters alone, digits alone, or of
-    one case with digits beyond hex are words, numbers and file names, and are not scanned.
-    ``allowed``: a candidate is let be where one of these patterns matches around it.
+    Classes: ``hex`` is a run of digits and a-f (or A-F) with both digits and letters; ``base64`` is any string of the
+    candidate alphabet in which a window has digits, small and large letters; ``lower`` and ``upper`` are runs of digits and
+    letters of one case, in windows with both and a letter beyond hex. Runs are looked for inside a candidate, so what is joined
+    to them by other signs does not hide them. Windows of letters alone or digits alone are words and numbers.
+    ``allowed``: a candidate is let be where one of these patterns matches around it. ``names``: a run of one case that is all
+    of one of these is a name. One-case windows that overlap a base span are not reported again.
     """
 
     window: int = 20
     least_hex: float = 3.0
     least_base64: float = 3.9
+    least_one_case: float = 3.4
     allowed: tuple[str, ...] = (
         r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",
         r"[A-Za-z][A-Za-z0-9+.-]*://\S+",
@@ -50,10 +53,15 @@ class Entropy:
         r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+",
         r"(?:sha(?:1|256|512)|md5)[-:][A-Za-z0-9+/=]+",
     )
+    names: tuple[str, ...] = (r"[A-Za-z]+[0-9]+", r"[0-9]+[A-Za-z]+", r"[A-Za-z]+[0-9]{1,4}[A-Za-z]+")
 
 
 CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
-_HEX_LOWER, _HEX_UPPER = set("0123456789abcdef"), set("0123456789ABCDEF")
+HEX_RUNS = re.compile(r"[0-9a-f]{20,}"), re.compile(r"[0-9A-F]{20,}")
+ONE_CASE_RUNS = {"lower": re.compile(r"[0-9a-z]{20,}"), "upper": re.compile(r"[0-9A-Z]{20,}")}
+BEYOND_HEX = re.compile(r"[G-Zg-z]")
+DIGIT = re.compile(r"[0-9]")
+LETTER = re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -86,40 +94,60 @@ def window_entropies(string: str, window: int) -> Iterator[tuple[int, float]]:
             yield i - window + 1, math.log2(window) - total / window
 
 
-def _class_of(string: str) -> str | None:
-    chars = set(string)
-    digits, lower, upper = (
-        any(a <= c <= z for c in chars) for a, z in (("0", "9"), ("a", "z"), ("A", "Z"))
-    )
-    if digits and (lower or upper) and (chars <= _HEX_LOWER or chars <= _HEX_UPPER):
-        return "hex"
-    return "base64" if digits and lower and upper else None
+def _mixed(string: str) -> bool:
+    return all(any(a <= c <= z for c in string) for a, z in (("0", "9"), ("a", "z"), ("A", "Z")))
+
+
+def _runs(candidate: str, rule: Entropy) -> Iterator[tuple[str, int, str, float]]:
+    """(class, start, string, least bits): what is scanned in a candidate."""
+    for pattern in HEX_RUNS:
+        for m in pattern.finditer(candidate):
+            if DIGIT.search(m[0]) and LETTER.search(m[0]):
+                yield "hex", m.start(), m[0], rule.least_hex
+    for kind, pattern in ONE_CASE_RUNS.items():
+        for m in pattern.finditer(candidate):
+            if DIGIT.search(m[0]) and BEYOND_HEX.search(m[0]) and not any(re.fullmatch(p, m[0]) for p in rule.names):
+                yield kind, m.start(), m[0], rule.least_one_case
+    if _mixed(candidate):
+        yield "base64", 0, candidate, rule.least_base64
+
+
+def _in_class(kind: str, window: str) -> bool:
+    if kind == "hex":
+        return True
+    if kind == "base64":
+        return _mixed(window)
+    return bool(DIGIT.search(window) and BEYOND_HEX.search(window))
 
 
-def entropy_spans(text: str, rule: Entropy, allowed: re.Pattern) -> list[Span]:
+def entropy_spans(text: str, rule: Entropy, allowed: re.Pattern, base: list[Span] = ()) -> list[Span]:
     """Unions of overlapping windows whose entropy reaches the least of their class."""
     found: list[Span] = []
     let_be: list[tuple[int, int]] | None = None
     for m in CANDIDATE.finditer(text):
-        kind = _class_of(m[0])
-        if kind is None:
+        runs = list(_runs(m[0], rule))
+        if not runs:
             continue
         if let_be is None:
             let_be = [a.span() for a in allowed.finditer(text)]
         if any(a < m.end() and m.start() < z for a, z in let_be):
             continue
-        least = rule.least_hex if kind == "hex" else rule.least_base64
-        open_at = end = None
-        for i, bits in window_entropies(m[0], rule.window):
-            if bits < least or (kind == "base64" and _class_of(m[0][i : i + rule.window]) is None):
-                continue
-            if end is not None and i > end:
-                found.append((m.start() + open_at, m.start() + end, f"entropy_{kind}"))
-                open_at = None
-            open_at = i if open_at is None else open_at
-            end = i + rule.window
-        if end is not None:
-            found.append((m.start() + open_at, m.start() + end, f"entropy_{kind}"))
+        for kind, at, string, least in runs:
+            at += m.start()
+            known = [(a - at, z - at) for a, z, _ in base] if kind in ONE_CASE_RUNS else []
+            open_at = end = None
+            for i, bits in window_entropies(string, rule.window):
+                if bits < least or not _in_class(kind, string[i : i + rule.window]):
+                    continue
+                if any(a < i + rule.window and i < z for a, z in known):
+                    continue
+                if end is not None and i > end:
+                    found.append((at + open_at, at + end, f"entropy_{kind}"))
+                    open_at = None
+                open_at = i if open_at is None else open_at
+                end = i + rule.window
+            if end is not None:
+                found.append((at + open_at, at + end, f"entropy_{kind}"))
     return found
 
 
@@ -132,7 +160,7 @@ def all_spans(text: str, rule: Entropy, allowed: re.Pattern) -> tuple[list[Span]
     base = sorted(base_spans(text), key=order)
     covered = sorted(base)
     added, k, reach = [], 0, -1
-    for start, end, kind in sorted(entropy_spans(text, rule, allowed)):
+    for start, end, kind in sorted(entropy_spans(text, rule, allowed, base)):
         while k < len(covered) and covered[k][0] <= start:
             reach = max(reach, covered[k][1])
             k += 1

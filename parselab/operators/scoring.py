@@ -178,10 +178,12 @@ def passage_leaks(
 
     The second to the sixth word of a passage stand between white space wherever it occurs, so documents and passages meet on
     the hash of such a run of ``words`` words, and only pairs that meet are compared as texts. Passages of fewer than
-    ``words + 2`` words are not searched.
+    ``words + 2`` words have no such run; each of them is searched in every document.
     """
     hits = passages.select(F.col(passage_key).alias("passage_key"), F.col(passage).alias("passage"))
-    split = hits.withColumn("parts", F.split(F.trim("passage"), r"\s+")).filter(F.size("parts") >= words + 2)
+    cut = hits.withColumn("parts", F.split(F.trim("passage"), r"\s+"))
+    split = cut.filter(F.size("parts") >= words + 2)
+    short = cut.filter(F.size("parts") < words + 2).select("passage_key", "passage").distinct()
     anchors = split.select("passage_key", F.xxhash64(F.slice("parts", 2, words)).alias("anchor"))
     parts = documents.select(F.col(key).alias("key"), F.split(text, r"\s+").alias("parts")).filter(F.size("parts") >= words)
     runs = F.transform(
@@ -190,7 +192,8 @@ def passage_leaks(
     met = parts.select("key", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchors, "anchor")
     whole = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     pairs = met.select("key", "passage_key").distinct().join(whole, "key").join(hits, "passage_key")
-    found = pairs.filter(F.contains("text", "passage"))
+    found = pairs.select("key", "passage_key", "text", "passage").unionByName(whole.crossJoin(short))
+    found = found.filter(F.contains("text", "passage"))
     return found.select(F.col("key").alias(key), F.col("passage_key").alias(passage_key)).distinct()
 
 

@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with a bounded cache of the cuts between white space."""
+"""Token ids of whole texts; the word vocabulary goes through a bounded cache of the cuts between white space."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-CACHED = 200_000
+CACHED = 500_000
 MARK = "\x01"
 PUNCTUATION = ".,;:!?*%&#$"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-ODD_SPACE = re.compile(r"\s | \s|^ | $")
 
 
 def packed(kind: str, ids: list[int]) -> bytes:
@@ -22,23 +21,25 @@ def packed(kind: str, ids: list[int]) -> bytes:
 
 
 class _Cached:
-    """Ids as little-endian bytes by cut; emptied when full."""
+    """Ids as little-endian bytes by cut; a full cache becomes the old one, whose cuts come over when they are met again."""
 
     def __init__(self, cached: int):
         self.cached = cached
         self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def clear(self) -> None:
         """At the end of a task: idle workers hold no cache."""
-        self.ids.clear()
+        self.ids, self.old = {}, {}
 
     def known(self, cuts: list[list[str]], encode: Callable[[list[str]], Iterator[bytes]]) -> dict[str, bytes]:
         words = {w for cut in cuts for w in cut}
         new = words - self.ids.keys()
         if len(self.ids) + len(new) > self.cached:
-            self.ids.clear()
-            new = words
-        listed = list(new)
+            self.ids, self.old, new = {}, self.ids, words
+        kept = new & self.old.keys()
+        self.ids.update((w, self.old[w]) for w in kept)
+        listed = list(new - kept)
         self.ids.update(zip(listed, encode(listed), strict=True))
         return self.ids
 
@@ -92,37 +93,22 @@ class WordIds(_Cached):
         return (b"".join([ids[w] for w in cut]) for cut in cuts)
 
 
-class RankIds(_Cached):
-    """Byte-level vocabulary in ranks; a space before a visible character starts a cut of its own."""
+class RankIds:
+    """Byte-level vocabulary in ranks; texts go to the library whole, which is faster than looking words up."""
 
-    def __init__(self, path: str, pattern: str, cached: int = CACHED):
+    def __init__(self, path: str, pattern: str):
         import base64
 
         import tiktoken
 
-        super().__init__(cached)
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.kind = "<u2" if len(ranks) < 1 << 16 else "<u4"
 
-    def _encode(self, cuts: list[str]) -> Iterator[bytes]:
-        encode, kind = self.library.encode_ordinary, "H" if self.kind == "<u2" else "I"
-        return (packed(kind, encode(c)) for c in cuts)
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned numbers of ``kind``."""
-        cuts = []
-        for text in texts:
-            if ODD_SPACE.search(text):
-                cuts.append([text])
-            else:
-                first, *rest = text.split(" ")
-                cuts.append([first, *(" " + w for w in rest)])
-        plain = [cut for cut in cuts if len(cut) > 1]
-        ids = self.known(plain, self._encode)
-        for cut in cuts:
-            yield b"".join([ids[c] for c in cut]) if len(cut) > 1 else next(self._encode(cut)) if cut[0] else b""
+        return (np.array(self.library.encode_ordinary(t), self.kind).tobytes() for t in texts)
 
 
 _MADE: dict[tuple, object] = {}

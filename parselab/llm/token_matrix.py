@@ -75,7 +75,6 @@ def matrix_rows(
                     yield pa.RecordBatch.from_pydict(rows, schema=schema)
         if held:
             yield pa.RecordBatch.from_pydict(packed(), schema=schema)
-        once(RankIds, ranks, pattern).clear()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

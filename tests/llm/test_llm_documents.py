@@ -238,7 +238,7 @@ def test_ids_equal_the_libraries():
 
     library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     words = WordIds(tokenizer("word_bpe_49k.json"), 50)
-    ranks = RankIds(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50)
+    ranks = RankIds(tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     some = random_texts(400)
     for text in some:
         assert np.frombuffer(next(words.encode([text])), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

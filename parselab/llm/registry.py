@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.llm import chat, decontaminate, html_blocks, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
+from parselab.llm import chat, decontaminate, html_blocks, merkle, minhash, packing, quality, secret_scan, sharding, token_counts, token_matrix
 from parselab.llm.common import table
 from parselab.session import new_path
 
@@ -92,6 +92,11 @@ def op10_chat(spark, d):
     return chat.digests(chat.format_chats(rows))
 
 
+@query
+def op13_merkle_manifest(spark, d):
+    return merkle.manifest(table(spark, d, "documents"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op10_chat"] = """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parselab.llm import chat, decontaminate, html_blocks, merkle, minhash, packing, quality, secret_scan, sharding, substring, token_counts, token_matrix
+from parselab.llm import align, chat, decontaminate, html_blocks, merkle, minhash, packing, quality, secret_scan, sharding, substring, token_counts, token_matrix
 from parselab.llm.common import table
 from parselab.session import new_path
 
@@ -97,6 +97,18 @@ def op11_substring(spark, d):
     return substring.digests(substring.parse(table(spark, d, "documents")))
 
 
+@query
+def op12_alignment(spark, d):
+    import public_tokenizers
+
+    return align.align(
+        table(spark, d, "documents"),
+        ranks=tokenizer("byte_bpe_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        model=tokenizer("piece_bpe_32k.model"),
+    )
+
+
 @query
 def op13_merkle_manifest(spark, d):
     return merkle.manifest(table(spark, d, "documents"))

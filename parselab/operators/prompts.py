@@ -1,11 +1,14 @@
 """Prompt tables and the join that brings stored replies back.
 
-A model call is a table of requests, keyed by a hash of the prompt, and a table of responses.
+A model call is a table of requests, keyed by a hash of system text and prompt, and a table of responses.
 """
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from pyspark.sql import types as T
 from parselab.functions import fixed
 from parselab.functions.text import fill
 
+SEPARATOR = "\x1f"  # between system text and prompt in what is hashed
+
 
 def _missing(column: str) -> Column:
     return F.col(f"`{column}`")
@@ -157,13 +162,18 @@ def topup_prompts(
 
 
 def with_request_id(prompts: DataFrame) -> DataFrame:
-    return prompts.withColumn("request_id", F.md5("prompt"))
+    """``request_id``: a hash of all that the model reads, the system text (where there is one) and the prompt."""
+    whole = F.col("prompt")
+    if "system_prompt" in prompts.columns:
+        whole = F.concat(F.coalesce("system_prompt", F.lit("")), F.lit(SEPARATOR), "prompt")
+    return prompts.withColumn("request_id", F.md5(whole))
 
 
 def distinct_requests(prompts: DataFrame) -> DataFrame:
-    """Each prompt once: equal prompts are asked once and share the reply."""
+    """Each request once: equal prompts under the same system text are asked once and share the reply."""
     keyed = prompts if "request_id" in prompts.columns else with_request_id(prompts)
-    return keyed.select("request_id", "prompt").dropDuplicates(["request_id"])
+    named = [c for c in ("request_id", "system_prompt", "prompt") if c in keyed.columns]
+    return keyed.select(*named).dropDuplicates(["request_id"])
 
 
 def attach_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
@@ -185,35 +195,43 @@ def attach_responses(prompts: DataFrame, responses: DataFrame) -> DataFrame:
 
 def call_model(
     requests: DataFrame,
-    make_client: Callable[[], Callable[[str], str]],
+    make_client: Callable[[], Callable[..., str]],
     attempts: int = 5,
+    in_flight: int = 1,
+    wait: float = 0.0,
+    longest_wait: float = 60.0,
 ) -> DataFrame:
     """Run a user-supplied text function over the prompts, in Arrow batches.
 
-    ``make_client`` runs once per partition. A prompt that still fails after ``attempts`` gives a
-    NULL response and its error text; the job goes on. Write the result out before
-    using it twice, so that no prompt is asked again.
+    ``make_client`` runs once per partition. A client is called with the system text and the prompt where the table has
+    ``system_prompt``, else with the prompt; a task keeps up to ``in_flight`` calls going, from as many threads. Before the next
+    attempt it waits ``wait`` seconds, then twice as long each time, shortened at random by up to half so that tasks do not
+    call in step. A prompt that still fails after ``attempts`` gives a NULL response and its error text; the job goes
+    on. Write the result out before using it twice, so that no prompt is asked again; ``provider`` keeps replies over runs.
     """
     schema = T.StructType(
         [f for f in requests.schema.fields if f.name not in ("response", "error")]
         + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     )
+    texts = [c for c in ("system_prompt", "prompt") if c in requests.columns]
 
-    def ask(client: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    def ask(client: Callable[..., str], request: tuple) -> tuple[str | None, str | None]:
         error = None
-        for _ in range(attempts):
+        for attempt in range(attempts):
+            if attempt and wait:
+                time.sleep(min(longest_wait, wait * 2 ** (attempt - 1)) * random.uniform(0.5, 1))
             try:
-                return client(prompt), None
+                return client(*request), None
             except Exception as failure:  # any client error becomes a column
                 error = str(failure)
         return None, error
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
-        for batch in batches:
-            answers = [ask(client, prompt) for prompt in batch["prompt"]]
-            yield batch.assign(
-                response=[a for a, _ in answers], error=[e for _, e in answers]
-            )
+        with ThreadPoolExecutor(in_flight) as pool:
+            for batch in batches:
+                asked = batch[texts].itertuples(index=False, name=None)
+                answers = list(pool.map(lambda request: ask(client, request), asked))
+                yield batch.assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     return requests.mapInPandas(run, schema)

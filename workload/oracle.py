@@ -209,7 +209,7 @@ STEPS: dict[str, str] = {
     "variants": """SELECT seed_id, strategy, u.pos AS pos, u.i AS input, u.o AS output, u.e AS error_type FROM (
       SELECT seed_id, strategy, unnest(list_transform(v, lambda s, n: {'pos': n - 1, 'i': s.i, 'o': s.o, 'e': s.e})) AS u
       FROM first_lists)""",
-    "asked": f"""SELECT *, md5({fill(fixed.ERROR_USER, log='"Content"', reasoning='reasoning', template='"EventTemplate"')}) AS request_id,
+    "asked": f"""SELECT *, md5({lit(fixed.ERROR_SYSTEM)} || chr(31) || {fill(fixed.ERROR_USER, log='"Content"', reasoning='reasoning', template='"EventTemplate"')}) AS request_id,
       {KIND.format('"Content"')} AS kind FROM wrong""",
     "replied": f"""SELECT *, CASE WHEN length("Content") % 9 <> 0 THEN {escaped(derived.SUMMARY_REPLY)} END AS response FROM asked""",
     "stored": f"""SELECT *, {escaped(derived.SUMMARY_REPLY)} AS response
@@ -503,7 +503,9 @@ SELECTS: dict[str, str] = {
     "stream_scoring": 'SELECT row_id, system, "Prediction", outcome FROM scored',
     "stream_accuracy": f"""SELECT system, count(*) AS processed, count(*) FILTER (outcome = 'same') AS correct,
       {PERCENT.format("count(*) FILTER (outcome = 'same')", "count(*)")} AS accuracy FROM scored GROUP BY 1""",
-    "model_provider": """SELECT row_id, CASE WHEN NOT ends_with("Content", '7') THEN 'TEMPLATE: ' || upper("Content") END AS response,
+    "model_provider": f"""SELECT row_id, CASE WHEN NOT ends_with("Content", '7') THEN
+        CASE WHEN row_id % 2 = 0 THEN '{len(fixed.ERROR_SYSTEM)}' ELSE '{len(fixed.CLASSIFY_SYSTEM)}' END
+          || ' TEMPLATE: ' || upper("Content") END AS response,
       CASE WHEN ends_with("Content", '7') THEN 'no answer' END AS error FROM logs""",
 }
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parselab.functions import fixed
-from parselab.operators.ranking import first_n
+from parselab.operators.vectors import bounded_pairs
 from parselab.session import cut_lineage
 
 
@@ -38,91 +37,15 @@ def call_embedder(
     return texts.mapInPandas(run, schema)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    """Rows scaled to length one; a zero row stays zero, so its cosine is 0."""
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norms == 0, 1.0, norms)
-
-
 def similar_pairs(
     types: DataFrame,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
     pos: str = "pos",
     vector: str = "vector",
     block_rows: int = 2048,
-    pivots: int = 1,
 ) -> DataFrame:
-    """Pairs ``i < j`` with cosine above ``threshold``, as ``(i, j, sim)``. Exact.
-
-    Vectors are put into blocks of about ``block_rows``. A task gets one pair of blocks and does one
-    matrix product, so its memory is bounded by the block size and only pairs above the
-    threshold leave it. With more than one pivot a block holds vectors near the same pivot, and by
-    the triangle inequality on angles block pairs too far apart are never formed; the result
-    is the same.
-    """
-    wide = np.arccos(np.clip(threshold, -1.0, 1.0)) + 1e-9
-    rows = types.select(F.col(pos).cast("long").alias("pos"), F.col(vector).cast("array<double>").alias("vector"))
-    chosen = first_n(rows, "pos", pivots).collect()  # ``pivots`` vectors, a parameter
-    centres = _unit(np.array([r["vector"] for r in chosen], dtype=float)) if chosen else np.zeros((1, 1))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            unit = _unit(np.stack(batch["vector"].to_numpy()).astype(float))
-            near = unit @ centres.T
-            pivot = near.argmax(axis=1)
-            angle = np.arccos(np.clip(near[np.arange(len(pivot)), pivot], -1.0, 1.0))
-            yield pd.DataFrame(
-                {"pos": batch["pos"], "vector": list(unit), "pivot": pivot.astype("int32"), "angle": angle}
-            )
-
-    placed = cut_lineage(rows.mapInPandas(place, "pos long, vector array<double>, pivot int, angle double"))
-    # One row per pivot: its radius and its number of blocks.
-    cells = {
-        r["pivot"]: (r["radius"], -(-r["n"] // block_rows))
-        for r in placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    }
-    between = np.arccos(np.clip(centres @ centres.T, -1.0, 1.0))
-    # Pivot pairs whose vectors can be close enough: at most pivots squared rows.
-    meet = [
-        (int(a), int(b), int(cells[a][1]), int(cells[b][1]))
-        for a in cells
-        for b in cells
-        if between[a, b] - cells[a][0] - cells[b][0] <= wide
-    ]
-    spark = types.sparkSession
-    near = spark.createDataFrame(meet, "pivot int, other int, own_parts int, other_parts int")
-    spread = (
-        placed.join(F.broadcast(near), "pivot")
-        .withColumn("part", F.pmod(F.xxhash64("pos"), F.col("own_parts")).cast("int"))
-        .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
-        .select(
-            "pos",
-            "vector",
-            F.struct("pivot", "part").alias("own"),
-            F.struct(F.col("other").alias("pivot"), F.col("other_part").alias("part")).alias("facing"),
-        )
-        .select(
-            "pos",
-            "vector",
-            (F.col("own") <= F.col("facing")).alias("is_low"),
-            F.least("own", "facing").alias("low"),
-            F.greatest("own", "facing").alias("high"),
-        )
-    )
-
-    def multiply(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        same = key[0] == key[1]
-        low = block if same else block[block["is_low"]]
-        high = block if same else block[~block["is_low"]]
-        if low.empty or high.empty:
-            return pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64"})
-        sim = np.stack(low["vector"].to_numpy()) @ np.stack(high["vector"].to_numpy()).T
-        at, to = np.nonzero(sim > threshold)
-        left, right = low["pos"].to_numpy()[at], high["pos"].to_numpy()[to]
-        out = pd.DataFrame({"i": np.minimum(left, right), "j": np.maximum(left, right), "sim": sim[at, to]})
-        return out[left < right] if same else out
-
-    return spread.groupBy("low", "high").applyInPandas(multiply, "i long, j long, sim double")
+    """Pairs ``i < j`` with cosine above ``threshold``, as ``(i, j, sim)``. Exact; ``vectors.hashed_pairs`` is the cheaper search."""
+    return bounded_pairs(types, threshold, pos, vector, block_rows)
 
 
 def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:

@@ -69,14 +69,13 @@ def merge_types(
     labelled: DataFrame,
     threshold: float = fixed.SIMILARITY_THRESHOLD,
     mode: str = "observed",
-    pivots: int = 1,
 ) -> dict[str, DataFrame]:
     """Pairs, plan, rewritten labels, effect and the types that remain.
 
     ``types`` has ``pos, title, description, examples, vector``. Without a similar pair the plan is
     empty and labels and types come back as they are.
     """
-    pairs = cut_lineage(merge.similar_pairs(types, threshold, pivots=pivots))
+    pairs = cut_lineage(merge.similar_pairs(types, threshold))
     counts = merge.type_counts(labelled)
     plan = cut_lineage(merge.merge_plan(merge.pair_counts(pairs, types, counts)))
     resolved = merge.resolve_plan(plan, mode)

@@ -23,13 +23,13 @@ def vector_table(spark, vectors):
     )
 
 
-@pytest.mark.parametrize(("pivots", "block_rows"), [(1, 1000), (1, 7), (8, 10), (30, 3)])
-def test_pairs_are_exact(spark, pivots, block_rows):
+@pytest.mark.parametrize("block_rows", [1000, 7, 10, 3])
+def test_pairs_are_exact(spark, block_rows):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(6, 8))
     vectors = np.concatenate([c + rng.normal(scale=0.25, size=(20, 8)) for c in centres] + [np.zeros((2, 8))])
     vectors = np.concatenate([vectors, np.repeat(vectors[:1], 15, axis=0)])  # copies in one group
-    found = merge.similar_pairs(vector_table(spark, vectors), 0.9, block_rows=block_rows, pivots=pivots).collect()
+    found = merge.similar_pairs(vector_table(spark, vectors), 0.9, block_rows=block_rows).collect()
     expected = pairs_by_hand(vectors, 0.9)
     assert {(r["i"], r["j"]) for r in found} == set(expected)
     assert len(found) == len(expected)
@@ -149,8 +149,7 @@ def test_embedder(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.85, 0.90, 0.95])
-@pytest.mark.parametrize("pivots", [1, 8])
-def test_planted_near_copies(spark, threshold, pivots):
+def test_planted_near_copies(spark, threshold):
     """Near copies at the published thresholds; no pair is lost, however the vectors lie in blocks."""
     g = np.random.default_rng(9)
     base = g.standard_normal((40, 64))
@@ -159,6 +158,6 @@ def test_planted_near_copies(spark, threshold, pivots):
     cosine = unit @ unit.T
     expected = {(i, j) for i, j in zip(*np.nonzero(cosine > threshold), strict=True) if i < j}
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "pos long, vector array<double>")
-    found = merge.similar_pairs(df, threshold, block_rows=16, pivots=pivots).collect()
+    found = merge.similar_pairs(df, threshold, block_rows=16).collect()
     assert {(r["i"], r["j"]) for r in found} == expected and len(found) == len(expected) > 0
     assert all(abs(r["sim"] - cosine[r["i"], r["j"]]) < 1e-9 for r in found)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parselab.functions import fixed, replies, templates, text
-from parselab.operators import augment, labels, merge, prompts, provider, ranking, scoring, seeds, summaries, taxonomy
+from parselab.operators import augment, labels, merge, prompts, provider, ranking, scoring, seeds, summaries, taxonomy, vectors
 from parselab.session import cut_lineage, new_path
 from parselab.sources import files
 from parselab.streaming import live
@@ -695,8 +695,8 @@ def cosine_pairs(spark, d):
 
 @query
 def lsh_pairs(spark, d):
-    """Pairs by blocks around pivots: far blocks never meet, and no pair is lost."""
-    return _rounded(_pairs(spark, d, 0.40, pivots=16, block_rows=256))
+    """Near copies by hashing, with bands enough that a miss is one in a million at the threshold."""
+    return _rounded(vectors.hashed_pairs(data.copied_types(spark, d), 0.90, recall=1 - 1e-6, bits=8))
 
 
 @query

@@ -228,6 +228,11 @@ STEPS: dict[str, str] = {
       SELECT {strip('original_log')} AS k1, {strip('correct_template')} AS k2, error_summary,
         row_number() OVER (PARTITION BY original_log, correct_template ORDER BY seq DESC) AS back FROM summaries) s
       ON s.k1 = {strip('l."Original_Log"')} AND s.k2 = {strip('l."Correct_Template"')} AND s.back = 1""",
+    "copied": """SELECT vec_id * 2 AS pos, embedding::DOUBLE[] AS v FROM embeddings
+      UNION ALL SELECT vec_id * 2 + 1, list_transform(embedding::DOUBLE[], lambda x, i: CASE WHEN (i - 1) % 7 = 0 THEN x / 3 ELSE x END)
+      FROM embeddings""",
+    "copied_cosines": """SELECT a.pos AS i, b.pos AS j, list_cosine_similarity(a.v, b.v) AS sim
+      FROM copied a JOIN copied b ON a.pos < b.pos""",
     "cosines": """SELECT a.vec_id AS i, b.vec_id AS j,
       list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
       FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
@@ -487,7 +492,7 @@ SELECTS: dict[str, str] = {
     "embed_attach": """SELECT vec_id AS pos, 'Type ' || (vec_id + 1) AS title, cast(len(embedding) AS int) AS dims,
       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""",
     "cosine_pairs": "SELECT i, j, round(sim, 6) AS sim FROM pairs",
-    "lsh_pairs": "SELECT i, j, round(sim, 6) AS sim FROM cosines WHERE sim > 0.40",
+    "lsh_pairs": "SELECT i, j, round(sim, 6) AS sim FROM copied_cosines WHERE sim > 0.90",
     "threshold_sweep": " UNION ALL ".join(
         f"SELECT cast({t} AS double) AS threshold, count(*) FILTER (sim > {t}) AS pairs FROM cosines" for t in SWEEP
     ),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import text
+from parselab.operators.passages import passage_leaks  # noqa: F401, found here as well
 from parselab.session import cut_lineage
 
 
@@ -170,33 +171,6 @@ def decontaminate(evaluation: DataFrame, tuning: DataFrame, log: str = "Content"
     return evaluation.join(seen, normalised_log(F.col(log)) == F.col("seen"), "left_anti")
 
 
-def passage_leaks(
-    documents: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text",
-    passage_key: str = "item_id", passage: str = "text", words: int = 5,
-) -> DataFrame:
-    """``key, passage_key`` of documents that contain a passage.
-
-    The second to the sixth word of a passage stand between white space wherever it occurs, so documents and passages meet on
-    the hash of such a run of ``words`` words, and only pairs that meet are compared as texts. Passages of fewer than
-    ``words + 2`` words have no such run; each of them is searched in every document.
-    """
-    hits = passages.select(F.col(passage_key).alias("passage_key"), F.col(passage).alias("passage"))
-    cut = hits.withColumn("parts", F.split(F.trim("passage"), r"\s+"))
-    split = cut.filter(F.size("parts") >= words + 2)
-    short = cut.filter(F.size("parts") < words + 2).select("passage_key", "passage").distinct()
-    anchors = split.select("passage_key", F.xxhash64(F.slice("parts", 2, words)).alias("anchor"))
-    parts = documents.select(F.col(key).alias("key"), F.split(text, r"\s+").alias("parts")).filter(F.size("parts") >= words)
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("parts") - words + 1), lambda at: F.xxhash64(F.slice("parts", at, words))
-    )
-    met = parts.select("key", F.explode(F.array_distinct(runs)).alias("anchor")).join(anchors, "anchor")
-    whole = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    pairs = met.select("key", "passage_key").distinct().join(whole, "key").join(hits, "passage_key")
-    found = pairs.select("key", "passage_key", "text", "passage").unionByName(whole.crossJoin(short))
-    found = found.filter(F.contains("text", "passage"))
-    return found.select(F.col("key").alias(key), F.col("passage_key").alias(passage_key)).distinct()
-
-
 def run_summary(scored: DataFrame, input_file: str, output_dir: str) -> DataFrame:
     """One row of run metrics; an empty run reports 0."""
     return accuracy(scored).select(

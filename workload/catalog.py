@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parselab.functions import fixed, replies, templates, text
-from parselab.operators import augment, labels, merge, prompts, provider, ranking, scoring, seeds, summaries, taxonomy, vectors
+from parselab.operators import augment, labels, merge, passages, prompts, provider, ranking, scoring, seeds, summaries, taxonomy, vectors
 from parselab.session import cut_lineage, new_path
 from parselab.sources import files
 from parselab.streaming import live
@@ -456,8 +456,8 @@ def decontaminate(spark, d):
 
 @query
 def passage_leaks(spark, d):
-    """Documents that hold a benchmark passage word for word."""
-    return scoring.passage_leaks(data.table(spark, d, "documents"), data.table(spark, d, "benchmark"))
+    """Documents that hold a benchmark passage, or a short item of it, word for word."""
+    return passages.passage_leaks(data.table(spark, d, "documents"), data.short_and_long_items(spark, d))
 
 
 @query

@@ -135,6 +135,15 @@ def vector_types(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def short_and_long_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items, what stands before their first to sixth space, and empty items."""
+    items = table(spark, d, "benchmark").select("item_id", "text")
+    shorts = items.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6)))).selectExpr(
+        "item_id * 10 + k + 1000000 AS item_id", "substring_index(text, ' ', k) AS text"
+    )
+    return items.unionByName(shorts).unionByName(items.selectExpr("item_id + 2000000 AS item_id", "'' AS text"))
+
+
 def copied_types(spark: SparkSession, d: str) -> DataFrame:
     """Every vector, and a copy of it in which every seventh number is a third as large."""
     near = F.transform("vector", lambda x, at: F.when(at % 7 == 0, x.cast("double") / 3).otherwise(x.cast("double")))

@@ -419,7 +419,10 @@ SELECTS: dict[str, str] = {
     "remap_labels": 'SELECT row_id, "Error_Number", "Error_Type" FROM remapped',
     "surviving_types": "SELECT doc_id, letter, title FROM surviving",
     "response_join": """SELECT row_id, request_id, length("Content") % 9 <> 0 AS answered, coalesce(response, '') AS response FROM replied""",
-    "passage_leaks": """SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
+    "passage_leaks": """SELECT DISTINCT doc_id, item_id FROM documents d JOIN (
+        SELECT item_id, text FROM benchmark UNION ALL
+        SELECT item_id * 10 + k + 1000000, array_to_string(string_split(text, ' ')[:k], ' ')
+          FROM benchmark, (SELECT unnest(range(1, 7)) AS k)) b ON contains(d.text, b.text)""",
     "decontaminate": """SELECT row_id, "Content" FROM logs WHERE lower("Content") NOT IN (
       SELECT lower("Content") FROM wrong)""",
     "plan_closure": "SELECT from_type, to_type FROM closed",

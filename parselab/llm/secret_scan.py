@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,8 +40,9 @@ class Entropy:
     candidate alphabet in which a window has digits, small and large letters; ``lower`` and ``upper`` are runs of digits and
     letters of one case, in windows with both and a letter beyond hex. Runs are looked for inside a candidate, so what is joined
     to them by other signs does not hide them. Windows of letters alone or digits alone are words and numbers.
-    ``allowed``: a candidate is let be where one of these patterns matches around it. ``names``: a run of one case that is all
-    of one of these is a name. One-case windows that overlap a base span are not reported again.
+    ``allowed``: a candidate is let be where one of these patterns matches around it; they begin where a run of their characters begins
+    and do not go back in it, so their work is linear. Of an address the query string is not let be. ``names``: a run of one case
+    that is all of one of these is a name. One-case windows that overlap a base span are not reported again.
     """
 
     window: int = 20
@@ -48,20 +51,22 @@ class Entropy:
     least_one_case: float = 3.4
     allowed: tuple[str, ...] = (
         r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",
-        r"[A-Za-z][A-Za-z0-9+.-]*://\S+",
-        r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+",
+        r"(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\s?#]+",
+        r"(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)+",
         r"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+",
         r"(?:sha(?:1|256|512)|md5)[-:][A-Za-z0-9+/=]+",
     )
     names: tuple[str, ...] = (r"[A-Za-z]+[0-9]+", r"[0-9]+[A-Za-z]+", r"[A-Za-z]+[0-9]{1,4}[A-Za-z]+")
 
 
-CANDIDATE = re.compile(r"(?=[A-Za-z0-9+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # without a digit it has no class
 HEX_RUNS = re.compile(r"[0-9a-f]{20,}"), re.compile(r"[0-9A-F]{20,}")
 ONE_CASE_RUNS = {"lower": re.compile(r"[0-9a-z]{20,}"), "upper": re.compile(r"[0-9A-Z]{20,}")}
 BEYOND_HEX = re.compile(r"[G-Zg-z]")
 DIGIT = re.compile(r"[0-9]")
 LETTER = re.compile(r"[A-Za-z]")
+SMALL = re.compile(r"[a-z]")
+LARGE = re.compile(r"[A-Z]")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -78,24 +83,40 @@ def base_spans(text: str) -> list[Span]:
 
 def window_entropies(string: str, window: int) -> Iterator[tuple[int, float]]:
     """(start, bits) of every window, from counts that change by one character a step."""
-    terms = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
-    counts: dict[str, int] = {}
+    steps = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    up = [b - a for a, b in zip(steps, steps[1:], strict=False)]  # what a count of c gains by one more
+    whole = math.log2(window)
+    counts = dict.fromkeys(string, 0)
     total = 0.0
-    for i, new in enumerate(string):
-        c = counts.get(new, 0)
+    for new in string[: window - 1]:
+        total += up[counts[new]]
+        counts[new] += 1
+    for i, new in enumerate(string[window - 1 :]):
+        c = counts[new]
+        total += up[c]
         counts[new] = c + 1
-        total += terms[c + 1] - terms[c]
-        if i >= window:
-            old = string[i - window]
-            c = counts[old]
-            counts[old] = c - 1
-            total += terms[c - 1] - terms[c]
-        if i >= window - 1:
-            yield i - window + 1, math.log2(window) - total / window
+        yield i, whole - total / window
+        old = string[i]
+        c = counts[old] - 1
+        counts[old] = c
+        total -= up[c]
 
 
 def _mixed(string: str) -> bool:
-    return all(any(a <= c <= z for c in string) for a, z in (("0", "9"), ("a", "z"), ("A", "Z")))
+    return bool(DIGIT.search(string) and SMALL.search(string) and LARGE.search(string))
+
+
+class _Cover:
+    """Spans by start, and whether any of them reaches into a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((z for _, z in ordered), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
 
 
 def _runs(candidate: str, rule: Entropy) -> Iterator[tuple[str, int, str, float]]:
@@ -123,23 +144,24 @@ def _in_class(kind: str, window: str) -> bool:
 def entropy_spans(text: str, rule: Entropy, allowed: re.Pattern, base: list[Span] = ()) -> list[Span]:
     """Unions of overlapping windows whose entropy reaches the least of their class."""
     found: list[Span] = []
-    let_be: list[tuple[int, int]] | None = None
+    let_be: _Cover | None = None
+    known = _Cover([(a, z) for a, z, _ in base])
     for m in CANDIDATE.finditer(text):
-        runs = list(_runs(m[0], rule))
+        runs = list(_runs(m[0], rule)) if DIGIT.search(m[0]) else []
         if not runs:
             continue
         if let_be is None:
-            let_be = [a.span() for a in allowed.finditer(text)]
-        if any(a < m.end() and m.start() < z for a, z in let_be):
+            let_be = _Cover([a.span() for a in allowed.finditer(text)])
+        if let_be.meets(m.start(), m.end()):
             continue
         for kind, at, string, least in runs:
             at += m.start()
-            known = [(a - at, z - at) for a, z, _ in base] if kind in ONE_CASE_RUNS else []
+            one_case = kind in ONE_CASE_RUNS
             open_at = end = None
             for i, bits in window_entropies(string, rule.window):
                 if bits < least or not _in_class(kind, string[i : i + rule.window]):
                     continue
-                if any(a < i + rule.window and i < z for a, z in known):
+                if one_case and known.meets(at + i, at + i + rule.window):
                     continue
                 if end is not None and i > end:
                     found.append((at + open_at, at + end, f"entropy_{kind}"))

@@ -22,7 +22,7 @@ from parselab.session import written
 
 SEED = 5  # words of a seed
 NO_ID = np.iinfo(np.int64).max
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 BLOCKS = "block bigint, doc_ids array<bigint>, texts array<string>"
 FACTORS = "array<struct<start: bigint, length: bigint, ref_doc: bigint, ref_start: bigint>>"
 PARSED = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors {FACTORS}, kept string"

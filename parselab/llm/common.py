@@ -94,12 +94,12 @@ class BitTable:
         slot = (hashes.astype(np.uint64) & np.uint64(self.mask)).astype(np.int64)
         return (self.sent.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) != 0
 
-    def rows(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows whose hash in ``column`` (not null) may be among the hashes."""
+    def rows(self, df: DataFrame, column: str, among: bool = True) -> DataFrame:
+        """The rows whose hash in ``column`` (not null) may be among the hashes, or those whose hash surely isn't."""
 
         def run(parts):
             for part in parts:
-                keep = self.holds(part.column(column).to_numpy(zero_copy_only=False))
+                keep = self.holds(part.column(column).to_numpy(zero_copy_only=False)) == among
                 yield part.filter(pa.array(keep, pa.bool_()))
 
         return df.mapInArrow(run, df.schema)

@@ -18,9 +18,45 @@ def slot_count(template: Column) -> Column:
     return ((F.length(template) - F.length(without)) / len(fixed.WILDCARD)).cast("int")
 
 
+MOST_SLOTS = 60  # beyond, and for texts with the two control characters below, the parts are searched one by one
+BEGIN, BETWEEN = "\x02", "\x1f"
+GROUPS = BETWEEN.join(f"${k}" for k in range(1, MOST_SLOTS + 1))
+
+
+def pattern(template: Column) -> Column:
+    """The pattern a template stands for.
+
+    A wildcard and the constant part behind it are one atomic group, which ends at the first place of that part and is never entered
+    again: a text that does not fit costs no more than one that does. Spark keeps the last pattern compiled.
+    """
+    escaped = F.regexp_replace(template, r"[\\^$.|?*+()\[\]{}]", r"\\$0")
+    return F.concat(F.lit("(?s)^(?>"), F.replace(escaped, F.lit(r"<\*>"), F.lit(")(?>(.+?)")), F.lit(r"\z)"))
+
+
 def read_slots(log: Column, template: Column) -> Column:
     """The text at each wildcard, of one character at least; NULL when the log does not fit the template.
 
+    All slots are read by one replacement of the whole text.
+    """
+    count = slot_count(template)
+    shown = F.concat(F.lit(BEGIN), F.call_function("substring_index", F.lit(GROUPS), F.lit(BETWEEN), count))
+    read = F.regexp_replace(log, pattern(template), shown)
+    fits = F.startswith(read, F.lit(BEGIN))
+    slots = F.when(fits, F.split(F.substring(read, 2, 2**31 - 1), BETWEEN, -1))
+    return (
+        F.when(count == 0, F.when(log == template, F.array().cast("array<string>")))
+        .when(_plain(log, template), slots)
+        .otherwise(_searched_slots(log, template))
+    )
+
+
+def _plain(log: Column, template: Column) -> Column:
+    return (slot_count(template) <= MOST_SLOTS) & ~F.contains(log, F.lit(BEGIN)) & ~F.contains(log, F.lit(BETWEEN))
+
+
+def _searched_slots(log: Column, template: Column) -> Column:
+    """The same for any number of wildcards and any text.
+
     Constant parts are found one after the other, each at its first place that leaves its wildcard a character, the last
     one at the end. Earliest places leave the most room, so they are what the lazy groups of a pattern would take,
     without going back: the work is one search per part.
@@ -59,7 +95,9 @@ def read_slots(log: Column, template: Column) -> Column:
 
 
 def matches(log: Column, template: Column) -> Column:
-    return F.when(log.isNotNull() & template.isNotNull(), read_slots(log, template).isNotNull())
+    by_pattern = F.regexp_instr(log, pattern(template)) > 0
+    found = F.when(slot_count(template) <= MOST_SLOTS, by_pattern).otherwise(_searched_slots(log, template).isNotNull())
+    return F.when(log.isNotNull() & template.isNotNull(), found)
 
 
 def refill(template: Column, values: Column) -> Column:

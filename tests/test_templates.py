@@ -31,6 +31,17 @@ def test_slots_equal_lazy_groups(spark):
         assert row["fits"] == (row["slots"] is not None)
 
 
+def test_many_slots_and_control_characters(spark):
+    many = "<*>,".join(f"p{k}" for k in range(90))
+    rows = [(many.replace("<*>", "v"), many), (many.replace("<*>", "v") + "x", many)]
+    rows += [("\x02a b", "<*> b"), ("a\x1fb c", "<*> c"), ("\x02", "<*>x"), ("\x02x", "<*>x"), ("$1 (a) [b] {c} \\d ^", "$1 (<*>) [<*>] {c} \\d ^")]
+    df = spark.createDataFrame(rows, "log string, template string")
+    found = df.select("*", templates.read_slots(F.col("log"), F.col("template")).alias("slots"), templates.matches(F.col("log"), F.col("template")).alias("fits"))
+    for row in found.collect():
+        assert row["slots"] == lazy(row["log"], row["template"]), row
+        assert row["fits"] == (row["slots"] is not None)
+
+
 def test_missing(spark):
     df = spark.createDataFrame([(None, "a"), ("a", None)], "log string, template string")
     assert [r[0] for r in df.select(templates.matches(F.col("log"), F.col("template"))).collect()] == [None, None]

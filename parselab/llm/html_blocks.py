@@ -18,7 +18,8 @@ from parselab.llm.common import mapped, texts
 
 PATH_SIZE, WORD_SIZE, OTHER = 256, 64, 9
 INPUT = PATH_SIZE + WORD_SIZE + OTHER
-PATHS_HELD = 50_000
+PATHS_HELD = 50_000  # looked at before each group of pages
+GROUP = 100
 
 TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""",
@@ -28,7 +29,6 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("head script style noscript template textarea title iframe noframes noembed svg object canvas".split())
-APART = "nav", "footer", "aside", "form", "menu", "dialog", "button", "select"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var wbr".split()
@@ -85,7 +85,6 @@ class Block:
     tag: str
     text: str
     linked: float
-    apart: bool
 
 
 @dataclass
@@ -97,20 +96,8 @@ class _Open:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     path: tuple[str, int] = ("", 0)
-    apart: tuple[int, ...] = ()
-    marks: list[tuple[int, int]] = field(default_factory=list)  # place in the stack and number of open ``APART`` elements
-    marked: int = 0
-    closed: set[int] = field(default_factory=set)  # numbers of those that their own end tag closed
-
-    def mark(self) -> None:
-        self.marks.append((len(self.stack) - 1, self.marked))
-        self.marked += 1
 
     def cut(self, to: int) -> None:
-        while self.marks and self.marks[-1][0] >= to:
-            place, number = self.marks.pop()
-            if place == to:
-                self.closed.add(number)
         for tag, _ in self.stack[to:]:
             self.count[tag] -= 1
         del self.stack[to:]
@@ -136,7 +123,6 @@ def blocks(page: str, paths: Paths) -> list[Block]:
     white space (a line break tag counts as such) becomes one space, ends are trimmed.
     """
     out: list[Block] = []
-    within: list[tuple[int, ...]] = []
     state = _Open()
 
     def read(piece: str) -> None:
@@ -147,7 +133,6 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if not state.pieces:
             block = next((t for t, _ in reversed(state.stack) if t not in INLINE), "")
             state.path = block, state.stack[-1][1]
-            state.apart = tuple(number for _, number in state.marks)
         state.pieces.append(html.unescape(piece) if "&" in piece else piece)
         if state.count["a"] > 0:
             state.linked += len(piece)
@@ -156,8 +141,7 @@ def blocks(page: str, paths: Paths) -> list[Block]:
         if state.pieces:
             text = " ".join("".join(state.pieces).split())
             if text:
-                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text)), False))
-                within.append(state.apart)
+                out.append(Block(state.path[1], state.path[0], text, min(1.0, state.linked / len(text))))
             state.pieces, state.linked = [], 0
 
     at = 0
@@ -191,22 +175,18 @@ def blocks(page: str, paths: Paths) -> list[Block]:
             continue
         state.stack.append((tag, paths.child(state.stack[-1][1], tag, attributes)))
         state.count[tag] += 1
-        if tag in APART:
-            state.mark()
     read(page[at:])
     end_block()
-    sizes: Counter = Counter()
-    for block, numbers in zip(out, within, strict=True):
-        sizes.update(dict.fromkeys(numbers, len(block.text)))
-    whole = sum(len(block.text) for block in out)
-    for block, numbers in zip(out, within, strict=True):
-        block.apart = any(k in state.closed and 2 * sizes[k] <= whole for k in numbers)
     return out
 
 
-def features(found: list[Block], paths: Paths, buckets: dict[str, int]) -> np.ndarray:
-    """A row per block: its path, its words by hashed counts, its length, links, punctuation and place."""
+def features(found: list[Block], paths: Paths, buckets: dict[str, int], first: int = 0, whole: int = 0) -> np.ndarray:
+    """A row per block: its path, its words by hashed counts, its length, links, punctuation and place.
+
+    ``found`` may be a part of the ``whole`` number of blocks of a page, from the ``first`` on.
+    """
     rows = np.zeros((len(found), INPUT), np.float32)
+    whole = whole or len(found)
     for i, block in enumerate(found):
         words = block.text.split()
         n = len(words)
@@ -217,7 +197,7 @@ def features(found: list[Block], paths: Paths, buckets: dict[str, int]) -> np.nd
         rows[i, PATH_SIZE + WORD_SIZE :] = (
             np.log1p(n) / 3, block.linked, text[-1] in ".!?:;。", min(3, text.count(",")) / 3,
             sum(map(text.count, "0123456789")) / len(text), block.tag[:1] == "h" and block.tag[1:].isdigit(),
-            i / len(found), (len(found) - i) / len(found), 1.0,
+            (first + i) / whole, (whole - first - i) / whole, 1.0,
         )
     return rows
 
@@ -229,15 +209,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def direction(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, keep: list | None = None) -> np.ndarray:
+def direction(
+    x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, keep: list | None = None, state: list | None = None
+) -> np.ndarray:
     """Hidden states (time, page, hidden) of one direction; padded steps leave the state as it is.
 
-    ``keep`` gets what a step needs for its gradient.
+    ``keep`` gets what a step needs for its gradient; ``state`` is where the direction begins (empty: zeros) and gets where it ends.
     """
     hidden = u.shape[0]
     steps = x @ w
     h = np.zeros((x.shape[1], hidden), x.dtype)
     c = np.zeros_like(h)
+    if state:
+        h, c = state
     out = np.zeros((*x.shape[:2], hidden), x.dtype)
     for t in range(x.shape[0]):
         z = steps[t] + h @ u
@@ -251,6 +235,8 @@ def direction(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, kee
             keep.append((h, c, i, f, o, new, bent, m))
         h, c = h_next, c_next
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -261,6 +247,22 @@ def probabilities(x: np.ndarray, mask: np.ndarray, weights: dict[str, np.ndarray
     return _sigmoid(np.concatenate((ahead, back, x), axis=2) @ weights["out"] + weights["bias"])[:, :, 0]
 
 
+def long_page(found: list[Block], weights: dict[str, np.ndarray], paths: Paths, buckets: dict[str, int], part: int) -> np.ndarray:
+    """The probabilities of one page's blocks, with the features of ``part`` blocks at a time: the states go on from part to part."""
+    hidden = weights["u_ahead"].shape[0]
+    of_ahead, of_back, of_x = np.split(weights["out"][:, 0], (hidden, 2 * hidden))
+    sums = np.full(len(found), weights["bias"][0], np.float32)
+    starts = range(0, len(found), part)
+    for way, own, order in (("ahead", of_ahead, starts), ("back", of_back, reversed(starts))):
+        state: list[np.ndarray] = []
+        for at in order:
+            x = features(found[at : at + part], paths, buckets, at, len(found))[:, None]
+            step = 1 if way == "ahead" else -1
+            made = direction(x[::step], np.ones(x.shape[:2], np.float32), weights[f"w_{way}"], weights[f"u_{way}"], state=state)[::step]
+            sums[at : at + part] += made[:, 0] @ own + (x[:, 0] @ of_x if way == "ahead" else 0)
+    return _sigmoid(sums)
+
+
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of several pages as (time, page, input), and a mask (time, page)."""
     longest = max(map(len, rows))
@@ -282,10 +284,7 @@ def trained() -> dict[str, np.ndarray]:
 def article_texts(pages: list[str], weights: dict[str, np.ndarray], paths: Paths, cells: int = 20_000) -> list[str]:
     """The main text of each page: the blocks labelled as article, joined by line ends.
 
-    After the labeller, blocks in an element that by its name is never article text (``APART``) are let go, if its own end tag
-    closes it and it holds at most half of the page's text; in others the labeller decides alone.
-
-    Pages go through the network in groups of about equal length and at most ``cells`` blocks (or one page).
+    Pages go through the network in groups of about equal length and at most ``cells`` blocks; a longer page goes alone, in parts.
     """
     buckets = _Buckets()
     out = [""] * len(pages)
@@ -295,13 +294,17 @@ def article_texts(pages: list[str], weights: dict[str, np.ndarray], paths: Paths
         x, mask = padded([features(found[k], paths, buckets) for k in group])
         chance = probabilities(x, mask, weights)
         for column, k in enumerate(group):
-            out[k] = "\n".join(b.text for t, b in enumerate(found[k]) if chance[t, column] >= 0.5 and not b.apart)
+            out[k] = "\n".join(b.text for t, b in enumerate(found[k]) if chance[t, column] >= 0.5)
 
     for k, page in enumerate(pages):
         if made := blocks(page, paths):
             found[k] = made
     group: list[int] = []
     for k in sorted(found, key=lambda k: len(found[k])):
+        if len(found[k]) > cells:
+            chances = long_page(found[k], weights, paths, buckets, cells)
+            out[k] = "\n".join(b.text for b, chance in zip(found[k], chances.tolist(), strict=True) if chance >= 0.5)
+            continue
         if group and len(found[k]) * (len(group) + 1) > cells:
             label(group)
             group = []
@@ -323,12 +326,12 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     weights = trained()
 
     def per_batch(part: pa.RecordBatch) -> dict:
-        if not _PATHS or len(_PATHS[0].vectors) > PATHS_HELD:
-            _PATHS[:] = [Paths()]
         made: list[str] = []
         pages = texts(part, "html")
-        for at in range(0, len(pages), 500):
-            made += article_texts(pages[at : at + 500], weights, _PATHS[0])
+        for at in range(0, len(pages), GROUP):
+            if not _PATHS or len(_PATHS[0].vectors) > PATHS_HELD:
+                _PATHS[:] = [Paths()]
+            made += article_texts(pages[at : at + GROUP], weights, _PATHS[0])
         return {
             "page_id": part.column("page_id"),
             "url": part.column("url"),

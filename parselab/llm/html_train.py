@@ -14,7 +14,7 @@ import numpy as np
 
 from parselab.llm import html_blocks as net
 
-PAGES = 8000
+PAGES = 10000
 MARK = ""  # put before article text in generated pages
 SYLLABLES = [
     "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split(),
@@ -209,13 +209,30 @@ class Pages:
                 parts.append(self.r.choice(other)())
         return a + "".join(parts) + z
 
+    def wrapped(self, parts: list[str], article: int) -> str:
+        """The parts of a page; some pages have a form around all or around the article, or an element that is left open before it."""
+        r = self.r.random()
+        if r < 0.09:
+            return f"<form method=post action={self.word()}.aspx{self.noise()}>{''.join(parts)}</form>"
+        if r < 0.18:
+            parts[article] = f"<form{self.r.choice((self.noise(), self.named('article')))}>{parts[article]}</form>"
+        elif r < 0.22:
+            parts.insert(article, f"<{self.r.choice(('nav', 'aside'))}{self.noise()}><a href=/>{self.words(1, 2)}</a>")
+        elif r < 0.25:
+            cells = "".join(f"<td{self.noise()}>{part}</td>" for part in parts if part)
+            return f"<table><tr>{cells}</tr></table>"
+        return "".join(parts)
+
     def page(self) -> str:
         self.tongue = self.r.choice(SYLLABLES)
         before = [p() for p in (self.header, self.menu, self.notice, self.advert, self.sidebar) if self.r.random() < 0.4]
         after = [p() for p in (self.sidebar, self.comments, self.advert, self.notice, self.form) if self.r.random() < 0.35]
         self.r.shuffle(before)
         self.r.shuffle(after)
-        body = "".join([*before, self.article(), *after, self.footer() * (self.r.random() < 0.8)])
+        parts = [*before, self.article(), *after, self.footer() * (self.r.random() < 0.8)]
+        if self.r.random() < 0.12:  # unnamed links to other stories
+            parts.insert(-1, f"<div{self.noise()}>{f'<h3>{self.words(1, 4)}</h3>' * (self.r.random() < 0.7)}{self.listed(lambda: self.words(3, 9), 3, 8)}</div>")
+        body = self.wrapped(parts, len(before))
         if self.r.random() < 0.4:
             body = f"<div{self.noise()}>{body}</div>"
         end = "</body></html>" * (self.r.random() < 0.8)

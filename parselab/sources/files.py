@@ -1,7 +1,6 @@
 """Readers and writers for the tables of a run. Paths are any the cluster can reach.
 
-CSV cells may hold line ends, so a CSV file is read by one task; keep large logs in parquet or in many
-files.
+CSV cells may hold line ends; a file is read by many tasks all the same (``split_csv``).
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from parselab.functions import fixed
 from parselab.functions.text import na_words
+from parselab.sources import split_csv
 
 _CSV = {
     "header": "true",
@@ -29,11 +29,18 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 
 
 def read_csv(
-    spark: SparkSession, path: str, columns: Sequence[str] | T.StructType, na: bool = False
+    spark: SparkSession, path: str, columns: Sequence[str] | T.StructType, na: bool = False, split: bool = True
 ) -> DataFrame:
-    """Cells as text, never inferred; ``na`` turns the usual words for a missing value into NULL."""
+    """Cells as text, never inferred; ``na`` turns the usual words for a missing value into NULL.
+
+    With ``split`` a file is read by as many tasks as it has splits. Files with quotes in unquoted cells, or with carriage returns alone as
+    record ends, are read without it, by one task each.
+    """
     schema = columns if isinstance(columns, T.StructType) else text_schema(columns)
-    df = spark.read.schema(schema).options(multiLine="true", **_CSV).csv(path)
+    if split:
+        df = split_csv.read(spark, path, schema, _CSV)
+    else:
+        df = spark.read.schema(schema).options(multiLine="true", **_CSV).csv(path)
     if na:
         text = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({c: na_words(F.col(f"`{c}`")) for c in text})

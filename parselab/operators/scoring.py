@@ -44,7 +44,7 @@ def _correct() -> Column:
     return F.count_if(F.col("outcome") == "same")
 
 
-def _percent(part: Column, whole: Column) -> Column:
+def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole * 100).otherwise(0.0)
 
 
@@ -53,7 +53,7 @@ def accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     counts = scored.groupBy(*by).agg(
         F.count(F.lit(1)).alias("processed"), _correct().alias("correct")
     )
-    return counts.withColumn("accuracy", _percent(F.col("correct"), F.col("processed")))
+    return counts.withColumn("accuracy", percent(F.col("correct"), F.col("processed")))
 
 
 def coverage(df: DataFrame, response: str = "response", by: Sequence[str] = ()) -> DataFrame:
@@ -103,7 +103,7 @@ def running_accuracy(
         "batch_id",
         (F.col("rows_before") + F.sum("rows").over(upto)).alias("processed"),
         (F.col("right_before") + F.sum("right").over(upto)).alias("correct"),
-    ).withColumn("accuracy", _percent(F.col("correct"), F.col("processed")))
+    ).withColumn("accuracy", percent(F.col("correct"), F.col("processed")))
 
 
 def grouping_accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -142,7 +142,7 @@ def grouping_accuracy(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         *by,
         whole.alias("rows"),
         correct.alias("correct"),
-        _percent(correct, whole).alias("grouping_accuracy"),
+        percent(correct, whole).alias("grouping_accuracy"),
     )
 
 

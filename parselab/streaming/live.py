@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from parselab.operators.scoring import accuracy, score
+from parselab.operators.scoring import accuracy, percent, score
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
@@ -25,20 +27,26 @@ def stream_scoring(arriving: DataFrame, path: str, checkpoint: str, once: bool =
 
 
 def stream_accuracy(
-    scored: DataFrame, path: str, checkpoint: str, by: str = "system", once: bool = False
+    scored: DataFrame,
+    checkpoint: str,
+    by: str = "system",
+    once: bool = False,
+    on_update: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Keep counts per system as state; each batch writes all of them as one snapshot."""
-    counts = accuracy(scored, [by])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    """Keep counts per system as keyed state below ``checkpoint``; ``latest_accuracy`` reads them there.
 
-    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-    writer = writer.foreachBatch(write)
+    A batch touches the keys that it has rows of. ``on_update`` gets their new counts and the batch's number (the same ones again
+    after a restart, so it should write by key); without it nothing is written but the state, of which Spark keeps
+    the last ``spark.sql.streaming.minBatchesToRetain`` versions, so files do not grow with batches.
+    """
+    writer = accuracy(scored, [by]).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = writer.format("noop") if on_update is None else writer.foreachBatch(on_update)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest_accuracy(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot; the older ones are not read."""
-    newest = spark.read.parquet(path).agg(F.max("batch")).first()[0]
-    return spark.read.parquet(f"{path}/batch={newest}")
+def latest_accuracy(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The counts after the last finished batch, a row per key, from the state itself."""
+    state = spark.read.format("statestore").load(checkpoint)
+    counts = F.col("value").cast("struct<processed: bigint, correct: bigint>")
+    kept = state.select("key.*", counts.alias("counts")).select("*", "counts.*").drop("counts")
+    return kept.withColumn("accuracy", percent(F.col("correct"), F.col("processed")))

@@ -27,15 +27,21 @@ def test_files_are_scored_once(spark, tmp_path, rows):
 
 
 def test_accuracy_goes_on(spark, tmp_path, rows):
-    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    source, progress = (str(tmp_path / n) for n in ("in", "progress"))
+    seen = []
 
     def run():
         stream = live.read_stream(spark, source, spark.createDataFrame([], SCHEMA).schema)
-        live.stream_accuracy(scoring.score(stream), out, progress, once=True).awaitTermination()
-        return rows(live.latest_accuracy(spark, out), "system", "processed", "correct")
+        note = lambda batch, number: seen.append(rows(batch, "system", "processed"))
+        live.stream_accuracy(scoring.score(stream), progress, once=True, on_update=note).awaitTermination()
+        return rows(live.latest_accuracy(spark, progress), "system", "processed", "correct")
 
     arrive(spark, source, "a", 0, 6)
     assert run() == [("a", 6, 4)]
     arrive(spark, source, "a", 6, 3)
     arrive(spark, source, "b", 0, 3)
     assert run() == [("a", 9, 6), ("b", 3, 2)]
+    arrive(spark, source, "b", 3, 3)
+    assert run() == [("a", 9, 6), ("b", 6, 4)]
+    assert seen == [[("a", 6)], [("a", 9), ("b", 3)], [("b", 6)]]  # only what a batch changed
+    assert [r["accuracy"] for r in live.latest_accuracy(spark, progress).orderBy("system").collect()] == [6 / 9 * 100, 4 / 6 * 100]

@@ -756,9 +756,9 @@ def stream_scoring(spark, d):
 @query
 def stream_accuracy(spark, d):
     scored = scoring.score(_arriving(spark, d))
-    path, checkpoint = new_path(spark, "accuracy"), new_path(spark, "progress")
-    live.stream_accuracy(scored, path, checkpoint, once=True).awaitTermination()
-    return live.latest_accuracy(spark, path).withColumn("accuracy", F.round("accuracy", 6))
+    checkpoint = new_path(spark, "progress")
+    live.stream_accuracy(scored, checkpoint, once=True).awaitTermination()
+    return live.latest_accuracy(spark, checkpoint).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def _echo_client():

@@ -8,6 +8,7 @@ rank inside a bucket needs a window.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,9 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parselab.functions import fixed
-from parselab.session import cut_lineage
+from parselab.session import cut_lineage, written
 
 BUCKET_DIGITS = 4  # 65 536 buckets
+SAMPLED = 100_000  # keys from which a cutoff is guessed
 
 
 def order_of(key: Column, seed: int = fixed.SEED) -> Column:
@@ -98,15 +100,38 @@ def volume_cap(df: DataFrame, key: str, baseline: DataFrame, seed: int = fixed.S
     return ranked(df, key, seed=seed, upto=limit).drop("rank")
 
 
+def cutoff(keys: DataFrame, n: int, sampled: int = SAMPLED) -> Column | None:
+    """A condition that surely holds for the first ``n`` rows in the order of all columns of ``keys``, and for few others.
+
+    About ``sampled`` keys, whatever the size of the table, give a guess; counting the keys below it proves it. None where the guess is
+    too low or the table is hardly larger than ``n``.
+    """
+    total, order = keys.count(), keys.columns
+    if total <= 4 * n:
+        return None
+    share = min(1.0, sampled / total)
+    place = math.ceil(n * share + 5 * math.sqrt(n * share + 1)) + 5
+    guess = keys.sample(share, fixed.SEED).orderBy(*order).offset(place).limit(1).collect()  # one row
+    if not guess:
+        return None
+    kinds = dict(keys.dtypes)
+    bound = F.struct(*[F.lit(guess[0][c]).cast(kinds[c]).alias(c) for c in order])
+    below = F.struct(*[F.col(c) for c in order]) <= bound
+    return below if keys.filter(below).count() >= n else None
+
+
 def max_samples(
     df: DataFrame, order: Sequence[str], n: int = fixed.MAX_TUNING_ROWS
 ) -> DataFrame:
     """The first ``n`` rows by ``order``.
 
-    Rows are dealt out by ranges of the order; the sizes of the ranges tell which of them hold the first ``n``, and only the
-    last of those is cut. So a task ranks one range, whatever ``n`` is.
+    The keys alone are written; a bound on them leaves out nearly all rows beyond the first ``n`` before anything is shuffled. The rest
+    is dealt out by ranges of the order; the sizes of the ranges tell which of them hold the first ``n``, and only the
+    last of those is cut. So a task ranks one range, whatever ``n`` is, and the shuffle grows with ``n``.
     """
-    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    below = cutoff(written(df.select(*order), "order"), n)
+    few = df if below is None else df.filter(below)
+    dealt = cut_lineage(few.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
     offsets = bucket_offsets(dealt, bucket="range").filter(F.col("offset") < n)  # a row per range
     inside = W.partitionBy("range").orderBy(*order)
     place = F.col("offset") + F.row_number().over(inside)

@@ -70,3 +70,17 @@ def test_max_samples(spark, n):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
     assert sorted(tuple(r) for r in found.collect()) == sorted((i % 3, i) for i in range(500))[:n]
+
+
+def test_cutoff_before_the_shuffle(spark):
+    """Few rows beyond the first n pass the bound, and the first n all do; ties and nulls included."""
+    df = spark.range(200_000).selectExpr("if(id % 1000 = 7, null, id * 7919 % 100003) AS a", "cast(id % 3 AS string) AS b", "id")
+    keys = df.select("a", "b")
+    below = ranking.cutoff(keys, 2000, sampled=20_000)
+    assert below is not None
+    kept = df.filter(below)
+    assert 2000 <= kept.count() < 6000
+    first = [r["id"] for r in df.orderBy("a", "b", "id").limit(2000).collect()]
+    assert [r["id"] for r in ranking.max_samples(df, ["a", "b", "id"], 2000).orderBy("a", "b", "id").collect()] == first
+    assert ranking.cutoff(keys, 100_000) is None  # hardly larger than n
+    assert ranking.max_samples(df.limit(0), ["a"], 5).count() == 0

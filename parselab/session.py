@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A repeated key of a JSON object has its last value, as in most readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Checkpoint files go once nothing refers to them any more.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -35,6 +37,12 @@ def sizing(input_bytes: int, cores: int, partition_bytes: int = PARTITION_BYTES)
     }
 
 
+def prepare(spark: SparkSession) -> None:
+    """The settings that results depend on, for a session made elsewhere."""
+    for key in ("spark.sql.variant.allowDuplicateKeys",):
+        spark.conf.set(key, SETTINGS[key])
+
+
 def build(app: str = "parselab", **overrides: str) -> SparkSession:
     """A session with the library's settings; master and sizing stay with the submitter."""
     builder = SparkSession.builder.appName(app)

@@ -1,6 +1,8 @@
 import pytest
 
+from parselab.functions import replies
 from parselab.operators import augment, labels
+from pyspark.sql import functions as F
 
 
 @pytest.fixture
@@ -111,3 +113,12 @@ def test_line_candidates_are_rows(spark):
 def test_brackets_that_never_close(spark):
     assert variants(spark, 1, "[" * 5000 + "\nlong line")[-1] == ("long line", "t <*>")
     assert variants(spark, 1, "] a long line [") == [("] a long line [", "t <*>")]
+
+
+def test_a_repeated_key_has_its_last_value(spark):
+    rows = [('{"label": 9, "label": 3, "error_type": "a", "error_type": "b"}', 3, "b"), ('{"label": 3, "label": "x"}', None, None),
+            ('{"a": {"label": 1, "label": 2}, "label": 5, "error_type": "c"}', 5, "c")]
+    df = spark.createDataFrame(rows, "text string, label int, named string")
+    read = df.withColumn("json", replies.parse_single(F.col("text")))
+    found = read.select("label", "named", replies.label_number(F.col("json")).alias("n"), replies.label_text(F.col("json")).alias("t"))
+    assert [(r["n"], r["t"]) for r in found.collect()] == [(r[1], r[2]) for r in rows]

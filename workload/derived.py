@@ -169,6 +169,7 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
 
 LABEL_REPLY = r"""
 CASE
+  WHEN kind = 0 AND n % 2 = 0 THEN concat('{"label": 99, "error_type": "First", "label": ', n, ', "error_type": "Named ', n, '"}')
   WHEN kind = 0 THEN concat('{"label": ', n, ', "error_type": "Named ', n, '"}')
   WHEN kind = 1 THEN concat('{"label": "', n, '", "error_type": "x"}')
   WHEN kind = 2 THEN concat('I think it is ', n)
@@ -206,7 +207,7 @@ CASE
     ELSE '' END
   ELSE CASE kind
     WHEN 0 THEN concat('[{"example": "', c, ' y1", "template": "', t, ' y1"}, {"example": " ', c, ' y2", "template": "', t, ' y2 ", "error_type": 3}]')
-    WHEN 1 THEN concat('Sure:\n[{"example": "', c, ' y1", "template": "', t, ' y1"}]\nBye')
+    WHEN 1 THEN concat('Sure:\n[{"example": "first", "template": 5, "example": "', c, ' y1", "template": "', t, ' y1"}]\nBye')
     WHEN 2 THEN concat('[{"example": "', c, '", "template": "', t, '"}, {"example": "', c, ' y1", "template": "', t, ' y1"}]')
     WHEN 3 THEN concat('[{"example": "', c, ' y1", "template": "', t, ' y1"}, "text", 7, {"example": "only"}]')
     WHEN 4 THEN concat('[{"example": "', c, ' y1", "template": 5}]')

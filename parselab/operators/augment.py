@@ -208,22 +208,15 @@ def substitute_variables(
     pool = ranked(values.select(*slot_key, "value"), "value", slot_key, seed)
     pool = pool.withColumn("pick", F.col("rank")).drop("rank")
     sizes = values.groupBy(*slot_key).agg(F.count(F.lit(1)).alias("size"))
+    of_template = sizes.groupBy(*by, "template").agg(F.map_from_entries(F.collect_list(F.struct("slot", "size"))).alias("sizes"))
+    asked = seeds.filter(templates.wildcard(F.col(template))).select(*by, "seed_id", F.col(template).alias("template"))
     wanted = (
-        seeds.filter(templates.wildcard(F.col(template)))
-        .select(
-            *by,
-            "seed_id",
-            F.col(template).alias("template"),
-            F.explode(F.sequence(F.lit(1), F.lit(n))).alias("place"),
-        )
-        .withColumn("slot", F.explode(F.sequence(F.lit(1), templates.slot_count(F.col("template")))))
+        asked.join(of_template, [*by, "template"])  # before seeds become places and slots
+        .withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        .select(*by, "seed_id", "template", "place", F.explode("sizes").alias("slot", "size"))
     )
     number = hash_number(F.concat_ws("|", F.lit(str(seed)), "seed_id", "place", "slot"))
-    picked = (
-        wanted.join(sizes, slot_key)
-        .withColumn("pick", F.pmod(number, F.col("size")) + 1)
-        .join(pool, [*slot_key, "pick"])
-    )
+    picked = wanted.withColumn("pick", F.pmod(number, F.col("size")) + 1).join(pool, [*slot_key, "pick"])
     return (
         picked.groupBy("seed_id", "place", "template")
         .agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("chosen"))

@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,24 +123,17 @@ def topup_prompts(
 ) -> DataFrame:
     """Ask for the shortfall of each seed that has fewer than ``n`` variants, naming those it has.
 
-    Only variants of seeds that fall short are listed, so a list holds less than ``n`` texts.
+    A seed's variants are cut at ``n`` before they are gathered, in the same shuffle.
     """
-    have = variants.groupBy("seed_id").agg(F.count(F.lit(1)).alias("have"))
-    short = have.filter(F.col("have") < n)
-    listed = (
-        variants.join(short, "seed_id", "left_semi")
-        .groupBy("seed_id")
-        .agg(F.array_sort(F.collect_list(F.struct("round", "pos", "input"))).alias("made"))
-        .select(
-            "seed_id",
-            F.size("made").alias("have"),
-            F.array_join(
-                F.transform("made", lambda v: F.concat(F.lit("- "), v["input"])), "\n"
-            ).alias("existing"),
-        )
+    place = F.row_number().over(W.partitionBy("seed_id").orderBy("round", "pos", "input"))
+    few = variants.select("seed_id", "round", "pos", "input").withColumn("place", place).filter(F.col("place") <= n)
+    made = few.groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct("round", "pos", "input"))).alias("made"))
+    listed = made.select(
+        "seed_id",
+        F.size("made").alias("have"),
+        F.array_join(F.transform("made", lambda v: F.concat(F.lit("- "), v["input"])), "\n").alias("existing"),
     )
-    full = have.filter(F.col("have") >= n)
-    asked = seeds.join(full, "seed_id", "left_anti").join(listed, "seed_id", "left")
+    asked = seeds.join(listed, "seed_id", "left").filter(F.coalesce("have", F.lit(0)) < n)
     fields = {
         **_seed_fields(),
         "count": F.lit(n) - F.coalesce("have", F.lit(0)),

@@ -48,6 +48,16 @@ def with_summary(
     )
 
 
+def both_summaries(df: DataFrame, response: str = "response") -> DataFrame:
+    """``with_summary`` in both modes, as columns ``observed`` and ``intended``; the reply is cleaned once."""
+    read = df.withColumn("_clean", clean_reasoning(F.col(response)))
+    read = read.withColumns({"_last": last_paragraph(F.col("_clean")), "_marked": summary_by_marker(F.col("_clean"))})
+    marked = F.when(F.col("_marked") != "", F.col("_marked")).otherwise(F.col("_last"))
+    both = {"observed": F.col("_last"), "intended": marked}
+    named = {mode: F.coalesce(shorten(found), F.lit("")) for mode, found in both.items()}
+    return read.withColumns(named).drop("_clean", "_last", "_marked")
+
+
 def error_replies(diff: DataFrame, responses: DataFrame) -> DataFrame:
     """Wrong rows that have all fields, with their reply; a failed call gives an empty text."""
     complete = drop_null_rows(diff, fixed.DIFF_COLUMNS)

@@ -313,9 +313,7 @@ def summary_fallback(spark, d):
 def summary_final(spark, d):
     rows = data.written_diff(spark, d)
     replied = summaries.error_replies(rows, data.summary_responses(rows))
-    for mode in ("observed", "intended"):
-        replied = summaries.with_summary(replied, into=mode, mode=mode)
-    return replied.select("row_id", "observed", "intended")
+    return summaries.both_summaries(replied).select("row_id", "observed", "intended")
 
 
 @query

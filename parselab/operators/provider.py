@@ -79,6 +79,15 @@ def answer(
     return store.replies().join(keyed.select("request_id").distinct(), "request_id", "left_semi")
 
 
+def responder(store: ReplyStore, make_client: Callable[[], Callable[..., str]], **options) -> Callable[[DataFrame, int], DataFrame]:
+    """What ``augment.generate_variants`` asks in each round: ``answer`` over the store; failed requests have no row."""
+
+    def respond(requests: DataFrame, round_no: int) -> DataFrame:
+        return answer(requests, store, make_client, **options).filter("error IS NULL").select("request_id", "response")
+
+    return respond
+
+
 def _ranges(count: int, digits: int = 8) -> list[tuple[str, str | None]]:
     """``count`` even ranges of a hexadecimal hash, low ends included; the last one has no high end."""
     ends = [format(16**digits * i // count, f"0{digits}x") for i in range(count)]

@@ -1,12 +1,13 @@
 """The model step: system texts, calls in flight, waits, and runs that go on where another one stopped."""
 
+import json
 import threading
 import time
 from collections import Counter
 
 import pytest
 
-from parselab.operators import prompts, provider
+from parselab.operators import augment, prompts, provider
 
 ASKED = "n int, system_prompt string, prompt string"
 
@@ -136,3 +137,31 @@ def test_stored_side_is_not_shuffled(spark, tmp_path):
         assert joined.filter("answered").count() == 100
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rounds_of_variants_over_a_store(spark, rows, tmp_path):
+    """A second run over the same store asks nothing."""
+    log = str(tmp_path / "calls")
+
+    def client():
+        def answer(system, prompt):
+            with open(log, "a") as out:
+                out.write("call\n")
+            source = "one" if "log one" in prompt else "two"
+            made = 2 if "- log" in prompt else 1  # the second round names what there is
+            return json.dumps([f"log {source} {k}" for k in range(made)])
+
+        return answer
+
+    seeds = spark.createDataFrame(
+        [(1, 1, "log one", "log <*>", "why", "T", 1), (2, 1, "log two", "log <*>", "why", "T", 1)],
+        "seed_id long, strategy int, Original_Log string, Correct_Template string, error_summary string, Error_Type string, Error_Number int",
+    )
+    document = spark.createDataFrame([("doc",)], "document string")
+    store = provider.ReplyStore(spark, f"file://{tmp_path}/store", buckets=4)
+    ask = provider.responder(store, client, in_flight=2)
+    expected = [(1, 1, "log one 0"), (1, 2, "log one 0"), (2, 1, "log two 0"), (2, 2, "log two 0")]
+    for _ in range(2):
+        made = augment.generate_variants(seeds, ask, document, 2)
+        assert rows(made, "seed_id", "place", "input") == expected
+    assert len(open(log).read().split()) == 4

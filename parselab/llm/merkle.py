@@ -125,11 +125,11 @@ def leaves(
     return hashed.withColumn("tampered", F.coalesce("changed", "hash")).drop("changed")
 
 
-def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+def placed(rows: DataFrame, ranges: list[Column], order: list[Column], name: str) -> DataFrame:
     """``rows`` with ``place`` (0..) in their list and ``m``, the list's rows; ``order`` starts with the columns of ``LIST``.
 
-    Rows are dealt out by ranges of the order and counted where they lie; counts by range and list give each range its offset,
-    so no list is sorted or numbered as one, whatever share of the rows it has.
+    Rows are dealt out by ``ranges``, a short form of the order (a sample of it goes to the driver), and counted where they lie; counts
+    by range and list give each range its offset, so no list is sorted or numbered as one, whatever share of the rows it has.
     """
     schema = StructType.fromDDL(f"{_ddl(rows)}, range int, at bigint")
     out = to_arrow_schema(schema)
@@ -145,7 +145,7 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
             columns = [*part.columns, pa.array([own] * part.num_rows, pa.int32()), pa.array(places, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, schema=out)
 
-    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, schema), name)
+    dealt = written(rows.repartitionByRange(*ranges).sortWithinPartitions(*order).mapInArrow(number, schema), name)
     sizes = dealt.groupBy(*LIST, "range").agg(F.count("*").alias("size"))
     of_list = W.partitionBy(*LIST)
     before = of_list.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
@@ -239,13 +239,16 @@ def manifest(
     with, repeated rows are leaves of their own. An empty table gives no rows; other columns are not read.
     """
     hashed = leaves(df, key, source, text, columns)
-    nodes = written(placed(hashed, [*_list_order(), F.asc("doc_id"), F.asc("hash"), F.asc("tampered")], "leaves"), "placed")
+    by_id = [*_list_order(), F.asc("doc_id")]
+    ranges, order = [*by_id, F.substring("hash", 1, 8).asc()], [*by_id, F.asc("hash"), F.asc("tampered")]
+    nodes = written(placed(hashed, ranges, order, "leaves"), "placed")
     rounds = _rounds(nodes, height)
 
     subroots = rounds[-1].select(
         F.lit(False).alias("no_list"), F.lit("").alias("list"), F.col("no_list").alias("no_source"), F.col("list").alias("source"), "hash"
     )
-    sources = written(placed(subroots, [F.desc("no_source"), F.asc("source")], "sources"), "sources")
+    by_name = [F.desc("no_source"), F.asc("source")]
+    sources = written(placed(subroots, by_name, by_name, "sources"), "sources")
     above = _rounds(sources, height)
     none = F.array().cast(SIDES)
     whole = above[-1].select(*LIST, "place", none.alias("sides"), F.col("hash").alias("subroot"), F.col("hash").alias("root"))

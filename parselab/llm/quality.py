@@ -27,8 +27,8 @@ class Bands:
     """Limits of compressed size / size (zstandard, ``level``), by length in UTF-8 bytes.
 
     ``limits`` lists (texts up to so many bytes, lowest, highest whole ratio). Short texts compress badly, so their band
-    lies higher. Chunks of ``chunk`` bytes: a text goes if more than ``chunk_share`` of its full chunks lie outside
-    ``chunk_limits``; texts without a full chunk have no chunk rule.
+    lies higher. Chunks of ``chunk`` bytes, from the text's start on, and one more that ends with the text where those leave a rest: a text
+    goes if more than ``chunk_share`` of its chunks lie outside ``chunk_limits``. A text shorter than a chunk has the whole ratio only.
     """
 
     level: int = 3
@@ -74,12 +74,13 @@ def duplicate_lines(text: str) -> int:
 
 
 def ratios(data: bytes, bands: Bands, press: zstandard.ZstdCompressor) -> tuple[float, list[float]]:
-    """Compressed size / size of the whole text and of its full chunks."""
+    """Compressed size / size of the whole text, and of its chunks; the last chunk ends where the text ends."""
     whole = len(press.compress(data)) / len(data) if data else 1.0
-    full = len(data) // bands.chunk
-    view = memoryview(data)
-    parts = (view[i * bands.chunk : (i + 1) * bands.chunk] for i in range(full))
-    return whole, [len(press.compress(part)) / bands.chunk for part in parts]
+    size, view = bands.chunk, memoryview(data)
+    starts = list(range(0, len(data) - size + 1, size))
+    if starts and len(data) % size:
+        starts.append(len(data) - size)
+    return whole, [len(press.compress(view[i : i + size])) / size for i in starts]
 
 
 def in_bands(size: int, whole: float, chunks: list[float], bands: Bands) -> bool:

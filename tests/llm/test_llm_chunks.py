@@ -1,4 +1,4 @@
-"""The chunk rule on texts of one full chunk."""
+"""The chunk rule on texts of one full chunk, and on the rest of a text."""
 
 import base64
 
@@ -19,8 +19,20 @@ def test_one_full_chunk():
         data = text.encode()
         assert 4096 <= len(data) < 8192
         whole, chunks = quality.ratios(data, bands, press)
-        assert chunks == [len(press.compress(data[:4096])) / 4096]
+        assert chunks == [len(press.compress(part)) / 4096 for part in (data[:4096], data[-4096:])]
         assert bands.limits[3][1] <= whole <= bands.limits[3][2] or text.startswith("ab")
         assert not quality.in_bands(len(data), whole, chunks, bands)
         assert not quality.judge(text, bands, press)[-1]
     assert bands.chunk_limits[1] < quality.ratios((head + prose).encode(), bands, press)[1][0]
+
+
+def test_the_rest_of_a_text_is_in_a_chunk():
+    r = np.random.default_rng(7)
+    words = [f"w{k}" for k in r.integers(0, 700, 9000)]
+    prose = " ".join(words)[: 4096 * 2]
+    noise = base64.b85encode(r.bytes(3200)).decode()[:3900]
+    press, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    whole, chunks = quality.ratios((prose + noise).encode(), bands, press)
+    assert len(chunks) == 3 and chunks[:2] == quality.ratios(prose.encode(), bands, press)[1]
+    assert chunks[2] > bands.chunk_limits[1] and not quality.in_bands(len(prose + noise), whole, chunks, bands)
+    assert quality.ratios(b"x" * 4095, bands, press)[1] == []

@@ -51,6 +51,7 @@ def plain_verdict(text):
         return failed, False
     _, low, high = [x for x in bands.limits if len(data) <= x[0]][0]
     chunks = [ratio(data[i : i + bands.chunk]) for i in range(0, len(data) - bands.chunk + 1, bands.chunk)]
+    chunks += [ratio(data[-bands.chunk :])] * (len(data) > bands.chunk and len(data) % bands.chunk > 0)
     outside = [c for c in chunks if not bands.chunk_limits[0] <= c <= bands.chunk_limits[1]]
     return failed, low <= ratio(data) <= high and len(outside) <= bands.chunk_share * len(chunks)
 

@@ -95,6 +95,6 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType, options: dict[str, str]) -> DataFrame:
-    """The cells of ``records``, read as Spark reads them."""
+    """The cells of ``records``, read as Spark reads them; through a generator, so that a record is read once for all its cells."""
     cells = F.from_csv("record", F.lit(schema.simpleString()), {**options, "multiLine": "true", "header": "false"})
-    return records(spark, path).select(cells.alias("cells")).select("cells.*")
+    return records(spark, path).select(F.inline(F.array(cells)))

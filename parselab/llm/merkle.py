@@ -238,7 +238,7 @@ def manifest(
     Texts are hashed where they are read; only hashes and ids are shuffled. Null values are ``-`` in a leaf, a null id is not tampered
     with, repeated rows are leaves of their own. An empty table gives no rows; other columns are not read.
     """
-    hashed = leaves(df, key, source, text, columns)
+    hashed = written(leaves(df, key, source, text, columns), "hashed")  # ranges are sampled first: texts are read once all the same
     by_id = [*_list_order(), F.asc("doc_id")]
     ranges, order = [*by_id, F.substring("hash", 1, 8).asc()], [*by_id, F.asc("hash"), F.asc("tampered")]
     nodes = written(placed(hashed, ranges, order, "leaves"), "placed")

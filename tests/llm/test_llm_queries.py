@@ -31,7 +31,7 @@ def benchmark(spark):
 
 
 def test_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality rules", "near duplicates", "benchmark decontamination", "secret scans", "packing",
@@ -175,3 +175,30 @@ def test_sql(spark, name):
     found = QUERIES[name](spark, FOLDER)
     assert sorted(found.columns) == sorted(names)
     assert sorted(map(tuple, found.select(names).collect())) == sorted(cursor.fetchall())
+
+
+def test_op11(spark, documents):
+    from test_llm_substring import plain
+
+    found = QUERIES["op11_substring"](spark, FOLDER).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, found), key=repr) == plain(documents)
+
+
+def test_op12(spark, documents):
+    from test_llm_align import cut
+
+    found = {r.doc_id: r for r in QUERIES["op12_alignment"](spark, FOLDER).collect()}
+    assert len(found) == len(documents)
+    for i, t in documents:
+        a, b, ends_a, ends_b = cut(t or "")
+        common = {e for _, e in ends_a} & {e for _, e in ends_b}
+        links = len({e for _, e in ends_a} | {e for _, e in ends_b})
+        assert (found[i].n_a, found[i].n_b, found[i].n_groups, found[i].n_links) == (len(a), len(b), len(common), links)
+
+
+def test_op13(spark):
+    from test_llm_merkle import plain
+
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    found = QUERIES["op13_merkle_manifest"](spark, FOLDER).collect()
+    assert sorted(map(tuple, found), key=repr) == plain([(*r, 0, "") for r in rows])

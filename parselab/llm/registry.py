@@ -94,7 +94,7 @@ def op10_chat(spark, d):
 
 @query
 def op11_substring(spark, d):
-    return substring.digests(substring.parse(table(spark, d, "documents")))
+    return substring.parse(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query
@@ -161,3 +161,19 @@ SELECT s.doc_id, cast(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, s.
   coalesce(component_id, s.doc_id) = s.doc_id AS kept
 FROM shingled s LEFT JOIN least USING (doc_id)
 """
+
+
+SQL["op11_substring"] = r"""
+WITH cut AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS p,
+    unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS x FROM cut),
+firsts AS (SELECT x, min(doc_id) AS first FROM windows GROUP BY x),
+gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM windows JOIN firsts USING (x), (SELECT unnest(range(13)) AS k) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM cut),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS joined FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(joined, '')) AS kept_sha256 FROM cut LEFT JOIN kept USING (doc_id)
+"""

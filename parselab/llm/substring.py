@@ -319,8 +319,3 @@ def parse(
                 return _rows(block, *_parse(block, row["answers"] or [], width), texts)
 
             return written(_each(with_answers(blocks, places), PARSED, parsed), "parsed")
-
-
-def digests(parsed: DataFrame) -> DataFrame:
-    longest = F.coalesce(F.array_max(F.transform("factors", lambda f: f["length"])), F.lit(0))
-    return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("factors").cast("bigint").alias("n_factors"), longest.alias("longest"))

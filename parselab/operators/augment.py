@@ -15,6 +15,9 @@ from parselab.operators.ranking import ranked
 from parselab.session import cut_lineage, written
 
 
+SEEDS = 50_000  # of one task in the rounds, so that its sorts do not grow with the table
+
+
 def hash_number(text: Column) -> Column:
     """The first 32 bits of the md5 of a text, as a number."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
@@ -109,27 +112,33 @@ def generate_variants(
 
     ``responder`` turns a request table, in which each prompt stands once, into ``request_id, response`` for a round:
     a stored reply table or a model step. Seeds with equal prompts share the reply. Each further round adds at least one variant to each seed it asks for, so
-    ``n`` rounds are enough for every seed. Every round is checkpointed and never asked twice.
+    ``n`` rounds are enough for every seed. Every round is checkpointed and never asked twice. Rows are dealt by key to one task
+    per ``SEEDS`` seeds: adaptive execution would join tasks by their compressed bytes, and these texts grow tenfold in memory.
     """
+    parts = max(1, -(-seeds.count() // SEEDS))
+
+    def dealt(df: DataFrame, key: str = "seed_id") -> DataFrame:
+        return df.repartition(parts, key)
 
     def ask(prompts: DataFrame, round_no: int) -> DataFrame:
         # The request table is written out: the responder reads its prompts, the replies join its keys.
-        keyed = written(asking.with_request_id(prompts), "requests")
+        keyed = dealt(written(asking.with_request_id(prompts), "requests"), "request_id")
         replied = asking.attach_responses(keyed, responder(keyed.dropDuplicates(["request_id"]), round_no))
         return cut_lineage(parse_variants(replied))
 
     made = ask(asking.augment_prompts(seeds, document, n), 0).withColumn("round", F.lit(0))
-    open_seeds, open_made = seeds, made
+    open_seeds, open_made = dealt(seeds), dealt(made)
     for round_no in range(1, n + 1):
         added = ask(asking.topup_prompts(open_seeds, open_made, document, n), round_no)
         if added.isEmpty():
             break
         made = topup_union(made, added, round_no)
-        # A seed that got nothing is given up; only the others' variants are looked at again.
-        answered = added.select("seed_id").distinct()
-        open_seeds = open_seeds.join(answered, "seed_id", "left_semi")
-        open_made = topup_union(open_made, added, round_no).join(answered, "seed_id", "left_semi")
-    return top_n_variants(made, n)
+        # A seed that got nothing is given up; only the others' variants are looked at again. Who answered in this round
+        # has answered in all, so the joins of earlier rounds are not gone through again.
+        answered = dealt(added.select("seed_id")).distinct()
+        open_seeds = dealt(seeds).join(answered, "seed_id", "left_semi")
+        open_made = dealt(made).join(answered, "seed_id", "left_semi")
+    return top_n_variants(dealt(made), n)
 
 
 def topup_only(

@@ -42,6 +42,20 @@ def test_rounds_until_full_or_silent(spark, chosen, document):
     assert texts == [f"log 7 v{n}" for n in range(5)]
 
 
+def test_tasks_of_the_rounds_stay_small(spark, chosen, document, monkeypatch):
+    """Tasks grow in number with the seeds, not in size, however small their rows are in a shuffle."""
+    monkeypatch.setattr(augment, "SEEDS", 2)
+    asked_parts = []
+
+    def reply(asked, round_no):
+        asked_parts.append(asked.rdd.getNumPartitions())
+        return responder(asked, round_no)
+
+    made = augment.generate_variants(augment.assign_strategy(chosen), reply, document, 5)
+    assert made.rdd.getNumPartitions() == 6 and asked_parts[:5] == [6] * 5  # the last round asks for nothing
+    assert Counter(r["seed_id"] for r in made.collect()) == {**{n: 1 for n in range(4)}, **{n: 5 for n in range(4, 11)}}
+
+
 def test_equal_prompts_share_one_reply(spark, document, rows):
     """Equal seeds get the same variants, one row each; the responder sees each prompt once."""
     twins = spark.createDataFrame([(n, "user 5 login", "user <*> login", "why", "T", 1) for n in (1, 2)], SEED_SCHEMA)

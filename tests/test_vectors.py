@@ -82,3 +82,31 @@ def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
 def test_empty_tables(spark):
     none = table(spark, [[1.0, 0.0]]).limit(0)
     assert vectors.bounded_pairs(none, 0.5).collect() == [] and vectors.hashed_pairs(none, 0.5).collect() == []
+
+
+def test_a_vector_is_sent_to_few_tasks(spark):
+    """However many blocks there are: at a threshold that rules no pair of blocks out, each row stood in 64 pairs of them."""
+    df = table(spark, planted(512, 0, 1.0))
+    rows = vectors.unit_vectors(df, "pos", "vector")
+    spread, _, _ = vectors._spread(rows, -0.9, vectors.directions(rows)[0], 8, 512)
+    assert spread.count() <= vectors.SIDES * 512
+
+
+def test_sides_are_bounded_in_bytes():
+    n, dims = 10**8, 64
+    per = vectors.side_blocks(n // 2048, n, dims)
+    assert per * 2048 * dims * 8 <= vectors.SIDE_BYTES
+
+
+def test_a_low_threshold_is_not_left_to_hashing(spark):
+    """Bands enough for 0.4 would compare each pair twice; no pair is lost there."""
+    rows = planted(400, 60, 0.45, seed=4)
+    found = vectors.hashed_pairs(table(spark, rows), 0.4, recall=1 - 1e-6, bits=8).collect()
+    assert {(r["i"], r["j"]) for r in found} == all_pairs(rows, 0.4) and len(found) == len(all_pairs(rows, 0.4))
+
+
+def test_rows_without_place_or_vector(spark):
+    df = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, [1.0, 0.0]), (3, None)], "pos long, vector array<double>"
+    )
+    assert [(r["i"], r["j"]) for r in vectors.bounded_pairs(df, 0.9).collect()] == [(1, 2)]

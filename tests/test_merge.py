@@ -161,3 +161,27 @@ def test_planted_near_copies(spark, threshold):
     found = merge.similar_pairs(df, threshold, block_rows=16).collect()
     assert {(r["i"], r["j"]) for r in found} == expected and len(found) == len(expected) > 0
     assert all(abs(r["sim"] - cosine[r["i"], r["j"]]) < 1e-9 for r in found)
+
+
+@pytest.mark.parametrize("block_rows", [7, 2048])
+def test_plan_and_counts_without_a_shuffle_of_pairs(spark, rows, block_rows):
+    """The same as by joins of the pairs, also where places and titles are given twice."""
+    g = np.random.default_rng(11)
+    data = [(k, f"Type {k % 50}", g.standard_normal(5).tolist()) for k in range(60)]
+    types = spark.createDataFrame([*data, *data[:3], (4, "Other", data[4][2])], "pos long, title string, vector array<double>")
+    counts = spark.createDataFrame([(f"Type {k}", int(g.integers(1, 4))) for k in range(40)], "title string, rows long")
+    joined = merge.pair_counts(merge.similar_pairs(types, 0.6), types, counts)
+    names = ["i", "j", "type_1", "count_1", "type_2", "count_2"]
+    counted = merge.counted_pairs(types, counts, 0.6, block_rows)
+    assert rows(counted, *names) == rows(joined, *names) and counted.columns == joined.columns
+    folded, plan = merge.similar_plan(types, counts, 0.6, block_rows), merge.merge_plan(joined)
+    assert rows(folded, "from_type", "seq") == rows(plan, "from_type", "seq")
+    last = {r["from_type"]: r["to_type"] for r in folded.collect()}
+    assert all(last[r["from_type"]] == r["to_type"] for r in plan.collect() if "Type 4" not in (r["from_type"], r["to_type"]) and "Other" not in (r["from_type"], r["to_type"]))
+
+
+def test_plan_of_pairs_takes_no_exchange_of_pairs(spark):
+    types = spark.createDataFrame([(k, f"T{k}", [1.0, k / 100]) for k in range(40)], "pos long, title string, vector array<double>")
+    counts = spark.createDataFrame([], "title string, rows long")
+    plan = merge.counted_pairs(types, counts, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0]

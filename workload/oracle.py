@@ -495,7 +495,8 @@ SELECTS: dict[str, str] = {
     "embed_attach": """SELECT vec_id AS pos, 'Type ' || (vec_id + 1) AS title, cast(len(embedding) AS int) AS dims,
       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings""",
     "cosine_pairs": "SELECT i, j, round(sim, 6) AS sim FROM pairs",
-    "lsh_pairs": "SELECT i, j, round(sim, 6) AS sim FROM copied_cosines WHERE sim > 0.90",
+    "lsh_pairs": "SELECT i, j, round(sim, 6) AS sim FROM cosines WHERE sim > 0.40",
+    "near_copies": "SELECT i, j, round(sim, 6) AS sim FROM copied_cosines WHERE sim > 0.90",
     "threshold_sweep": " UNION ALL ".join(
         f"SELECT cast({t} AS double) AS threshold, count(*) FILTER (sim > {t}) AS pairs FROM cosines" for t in SWEEP
     ),

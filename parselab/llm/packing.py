@@ -18,12 +18,13 @@ from parselab.session import written
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 GROUP = 50_000
+PORTION = 2_000_000  # characters whose words are held at a time, some ten times their size
 
 
 def document_ids(values: list[str], tokenizer: str, end: int) -> Iterator[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit numbers."""
     last = np.array([end], "<u4").tobytes()
-    for some in portions(values):
+    for some in portions(values, PORTION):
         for ids in once(WordIds, tokenizer).encode(some):
             yield ids + last
 

@@ -8,11 +8,13 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED = 500_000
 MARK = "\x01"
-PUNCTUATION = ".,;:!?*%&#$"
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+AFTER_LETTER = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?*%&#$]+)( |$)"
 
 
 def packed(kind: str, ids: list[int]) -> bytes:
@@ -20,38 +22,20 @@ def packed(kind: str, ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}{kind}", *ids)
 
 
-class _Cached:
-    """Ids as little-endian bytes by cut; a full cache becomes the old one, whose cuts come over when they are met again."""
-
-    def __init__(self, cached: int):
-        self.cached = cached
-        self.ids: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def clear(self) -> None:
-        """At the end of a task: idle workers hold no cache."""
-        self.ids, self.old = {}, {}
-
-    def known(self, cuts: list[list[str]], encode: Callable[[list[str]], Iterator[bytes]]) -> dict[str, bytes]:
-        words = {w for cut in cuts for w in cut}
-        new = words - self.ids.keys()
-        if len(self.ids) + len(new) > self.cached:
-            self.ids, self.old, new = {}, self.ids, words
-        kept = new & self.old.keys()
-        self.ids.update((w, self.old[w]) for w in kept)
-        listed = list(new - kept)
-        self.ids.update(zip(listed, encode(listed), strict=True))
-        return self.ids
+class WordIds:
+    """A vocabulary of the tokenizers library whose pre-tokenizer drops white space, so that texts are cut at spaces.
 
-
-class WordIds(_Cached):
-    """A vocabulary of the tokenizers library whose pre-tokenizer drops white space, so that texts are cut at spaces."""
+    Punctuation after a letter is a word of its own. Ids are kept as little-endian bytes by word; a full cache becomes the old one, whose
+    words come over when they are met again. Texts are cut, and their ids put together, in Arrow: Python sees each distinct word of a
+    call once.
+    """
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(cached)
+        self.cached = cached
+        self.clear()
         self.library = Tokenizer.from_file(path)
         (self.mark,) = self.library.encode(MARK, add_special_tokens=False).ids  # one id, which no other text has
         self.tokenize = self.library.model.tokenize
@@ -72,25 +56,52 @@ class WordIds(_Cached):
                 yield word, data[4 * start : 4 * end]
                 start = end + 1
 
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        """Punctuation after a letter is separate from the word, and plain letters are lowered one by one."""
-        heads = [w.rstrip(PUNCTUATION) for w in words]
-        split = [h if h and h[-1].isascii() and h[-1].isalpha() else w for h, w in zip(heads, words, strict=True)]
-        keys = [h.lower() if LETTERS.fullmatch(h) else h for h in split]
-        plain, other = [], []
-        for word in {*keys, *(w[len(h) :] for h, w in zip(split, words, strict=True))}:
-            (plain if LETTERS.fullmatch(word) else other).append(word)
-        known = {w: self._word(w) for w in plain}
-        odd = [w for w in other if MARK in w or not w.strip()]
-        known.update((w, packed("I", self.library.encode(w, add_special_tokens=False).ids)) for w in odd)
-        known.update(self._marked([w for w in other if w not in known]))
-        return (known[k] + known[w[len(h) :]] for k, h, w in zip(keys, split, words, strict=True))
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of words; plain letters are lowered one by one."""
+        plain, other = {}, []
+        for word in words:
+            if word.isalpha() if word.isascii() else LETTERS.fullmatch(word):
+                plain[word] = word.lower()
+            else:
+                other.append(word)
+        lower = {*plain.values()}
+        known = {w: self.ids[w] if w in self.ids else self._word(w) for w in lower}
+        yield from known.items()
+        yield from ((w, known[low]) for w, low in plain.items() if w != low)
+        odd = {w for w in other if MARK in w or not w.strip()}
+        yield from ((w, packed("I", self.library.encode(w, add_special_tokens=False).ids)) for w in odd)
+        yield from self._marked([w for w in other if w not in odd])
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words."""
+        found = [*map(self.ids.get, words)]
+        if None not in found:
+            return found
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if len(self.ids) + len(new) > self.cached:
+            self.old, self.ids = self.ids, {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
+        if self.old:
+            self.ids.update((w, self.old[w]) for w in new if w in self.old)
+            new = [w for w in new if w not in self.ids]
+        self.ids.update(self._encode(new))
+        return [*map(self.ids.__getitem__, words)]
+
+    def clear(self) -> None:
+        """At the end of a task: idle workers hold no cache."""
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cuts = [t.split(" ") for t in texts]
-        ids = self.known(cuts, self._encode)
-        return (b"".join([ids[w] for w in cut]) for cut in cuts)
+        spaced = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
+        cuts = pc.split_pattern(pc.replace_substring_regex(spaced, AFTER_LETTER, r"\1 \2\3"), " ")
+        words = cuts.flatten().dictionary_encode()
+        known = self.known(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(known, pa.large_binary()).take(words.indices)
+        _, places, data = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[cuts.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return (data[start:end].tobytes() for start, end in zip(ends, ends[1:], strict=False))
 
 
 class RankIds:

@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parselab.llm.common import BitTable, mapped, texts
+from parselab.llm.common import BitTable, mapped, small_batches, texts
 from parselab.session import written
 
 # A word, or one character of a script without spaces.
 TOKENS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W぀-ヿ㐀-鿿]+")
-MEMO = 500_000
+MEMO = 150_000
+BATCH = 512  # documents in one Arrow batch
 BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -48,6 +49,14 @@ class _TokenHashes(dict):
         return found
 
 
+_HASHES = _TokenHashes()
+
+
+def token_hashes() -> _TokenHashes:
+    """The token hashes of this worker; they go on from batch to batch."""
+    return _HASHES
+
+
 def seed_hashes(words: list[str], least: int, hashes: dict) -> np.ndarray:
     """64-bit hash of each run of ``least`` tokens, in order."""
     n = len(words) - least + 1
@@ -65,7 +74,7 @@ def item_seeds(items: DataFrame, rule: Rule) -> DataFrame:
 
     def per_batch(part: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"item": [], "n_words": [], "seed": [], "times": []}
-        hashes = _TokenHashes()
+        hashes = token_hashes()
         for item, text in zip(part.column("item").to_pylist(), texts(part), strict=True):
             words = tokens(text)
             seeds, times = np.unique(seed_hashes(words, rule.least, hashes), return_counts=True)
@@ -82,7 +91,7 @@ def document_runs(docs: DataFrame, bits: BitTable, rule: Rule) -> DataFrame:
     """doc_id, text_hash, run, words, seeds: maximal runs of a document's tokens that seeds cover (or may cover)."""
 
     def per_batch(part: pa.RecordBatch) -> dict[str, list]:
-        hashes = _TokenHashes()
+        hashes = token_hashes()
         out: dict[str, list] = {"doc_id": [], "text_hash": [], "run": [], "words": [], "seeds": []}
         keys = zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts(part), strict=True)
         for doc_id, text_hash, text in keys:
@@ -204,13 +213,13 @@ def short_leaks(read: DataFrame, benchmark: DataFrame, rule: Rule) -> DataFrame
         return None
 
     def sign(part: pa.RecordBatch) -> dict[str, list]:
-        hashes = _TokenHashes()
+        hashes = token_hashes()
         return {"seed": [int(seed_hashes(w, len(w), hashes).view(np.int64)[0]) for w in part.column("words").to_pylist()]}
 
     bits = BitTable(mapped(items.select("words"), sign, "seed bigint"), "seed", rule.filter_bits)
 
     def search(part: pa.RecordBatch) -> dict[str, list]:
-        hashes = _TokenHashes()
+        hashes = token_hashes()
         out: dict[str, list] = {"doc_id": [], "text_hash": [], "words": []}
         for doc_id, text_hash, text in zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), texts(part), strict=True):
             words = tokens(text)
@@ -249,7 +258,8 @@ def leaks(
     read = docs.select(
         F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")
     )
-    runs = written(document_runs(read, BitTable(seeds, "seed", rule.filter_bits), rule), "runs")
+    with small_batches(docs.sparkSession, BATCH):
+        runs = written(document_runs(read, BitTable(seeds, "seed", rule.filter_bits), rule), "runs")
     document = ["doc_id", "no_id", "text_hash"]
     runs = runs.withColumn("no_id", F.col("doc_id").isNull()).fillna(0, ["doc_id"]).dropDuplicates([*document, "run"])
     of_runs = runs.select(*document, F.explode("seeds").alias("seed"))
@@ -320,7 +330,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), key: s
     found = leaks(docs, items, rule, key, text)
     names = ["id_or_0", "no_id", "hash"]
     gone = found.select(F.coalesce("doc_id", F.lit(0)).alias("id_or_0"), "no_id", F.col("text_hash").alias("hash")).distinct()
-    gone = written(gone, "gone")
+    with small_batches(docs.sparkSession, BATCH):
+        gone = written(gone, "gone")
     own = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(0)), F.col(f"`{key}`").isNull(), F.xxhash64(text)
     rows = docs.select(F.struct("*").alias("row"), *(part.alias(name) for part, name in zip(own, names, strict=True)))
     rows = rows.withColumn("row_hash", F.xxhash64(*names))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from parselab.llm import decontaminate
+from parselab.llm.common import mapped
 
 RULE = decontaminate.Rule()
 
@@ -123,3 +124,22 @@ def test_stock_phrases_lose_no_pair(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
     assert found == {(200 + k, k) for k in range(12)}
+
+
+def test_documents_come_in_small_batches(spark, monkeypatch):
+    def guarded(df, per_batch, schema, done=None):
+        def run(part):
+            assert part.num_rows <= 512
+            return per_batch(part)
+
+        return mapped(df, run, schema, done)
+
+    monkeypatch.setattr(decontaminate, "mapped", guarded)
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    docs = spark.range(3000).selectExpr(
+        "id AS doc_id", f"CASE WHEN id % 1000 = 7 THEN 'see {item} there' WHEN id = 9 THEN 'a brief item' ELSE concat('text ', id) END AS text"
+    ).coalesce(1)
+    items = spark.createDataFrame([(1, item), (2, "brief item")], "item_id bigint, text string")
+    kept = decontaminate.without_leaks(docs, items)
+    assert {r["doc_id"] for r in docs.exceptAll(kept).collect()} == {7, 9, 1007, 2007}
+    assert kept.count() == 2996

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from parselab.operators import vectors
+from workload import catalog
 
 
 def table(spark, rows):
@@ -105,6 +106,17 @@ def test_a_low_threshold_is_not_left_to_hashing(spark):
     assert {(r["i"], r["j"]) for r in found} == all_pairs(rows, 0.4) and len(found) == len(all_pairs(rows, 0.4))
 
 
+def test_cosine_pairs_has_no_floor(spark, tmp_path, rows):
+    """Opposite vectors and a zero vector are pairs like any other; equal ids, and rows without a vector, are in none."""
+    given = [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [3.0, 4.0]), (4, [4.0, 3.0]), (5, None), (None, [1.0, 0.0])]
+    spark.createDataFrame(given, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = rows(catalog.cosine_pairs(spark, str(tmp_path)), "i", "j", "sim")
+    assert found == sorted([
+        (0, 1, -1.0), (0, 2, 0.0), (0, 3, 0.0), (0, 4, 0.6), (0, 4, 0.8), (1, 2, 0.0), (1, 3, 0.0), (1, 4, -0.6), (1, 4, -0.8),
+        (2, 3, 0.0), (2, 4, 0.6), (2, 4, 0.8), (3, 4, 0.0), (3, 4, 0.0),
+    ], key=repr)
+
+
 def test_rows_without_place_or_vector(spark):
     df = spark.createDataFrame(
         [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, [1.0, 0.0]), (3, None)], "pos long, vector array<double>"

@@ -80,6 +80,36 @@ def test_hot_buckets_are_cut_into_blocks(spark, monkeypatch):
     assert {(r["i"], r["j"]) for r in found} == all_pairs(rows, 0.9)
 
 
+def test_only_pairs_by_the_threshold_are_compared(spark):
+    """Pairs at 0.82 share buckets like those at 0.9; their coarse products rule them out before any vector is sent."""
+    rows = planted(600, 300, 0.82, seed=6)
+    table_of = vectors.unit_vectors(table(spark, rows), "pos", "vector")
+    assert vectors.hashed_candidates(table_of, 0.9, recall=1 - 1e-6, bits=8).count() == 0
+    assert vectors.hashed_candidates(table_of, 0.81, recall=1 - 1e-6, bits=8).count() >= 300
+
+
+@pytest.mark.parametrize("bits", [8, 13])
+def test_a_vector_is_sent_once_for_all_its_pairs(spark, monkeypatch, bits):
+    """Of 19 900 pairs of 200 near copies; also where buckets are cut into blocks and these into tiles of several sizes."""
+    monkeypatch.setattr(vectors, "MEMBERS", 45)
+    monkeypatch.setattr(vectors, "TILE", (16, 24))
+    g = np.random.default_rng(8)
+    rows = np.concatenate([g.normal(size=12) + g.normal(scale=0.02, size=(200, 12)), g.normal(size=(60, 12))])
+    df = table(spark, rows)
+    found = vectors.hashed_pairs(df, 0.97, recall=1 - 1e-6, bits=bits).collect()
+    assert len(found) == len({(r["i"], r["j"]) for r in found})
+    assert {(r["i"], r["j"]) for r in found} == all_pairs(rows, 0.97)
+    portions = vectors._portions(vectors.unit_vectors(df, "pos", "vector"), 0.97, 1 - 1e-6, bits, 42)
+    assert portions.selectExpr("sum(size(at))").first()[0] >= len(found) == 19900
+    assert portions.selectExpr("sum(size(members))").first()[0] <= 8 * 260
+
+
+def test_vectors_of_two_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [1.0])], "pos long, vector array<double>").coalesce(1)
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.unit_vectors(df, "pos", "vector")
+
+
 def test_empty_tables(spark):
     none = table(spark, [[1.0, 0.0]]).limit(0)
     assert vectors.bounded_pairs(none, 0.5).collect() == [] and vectors.hashed_pairs(none, 0.5).collect() == []
